@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import language_id, simhash
+from quillgraph.llm import decontaminate, language_id, license_scan, sharding, simhash, url_filter
 from quillgraph.llm.common import table
 
 
@@ -20,15 +20,95 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+URL_RULES = "VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')"
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.sql(f"SELECT * FROM {URL_RULES} AS t(host, path, verdict)")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP4_SQL = f"""
+WITH rules(rh, rp, v) AS ({URL_RULES}),
+rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS u FROM pages),
+parts AS (SELECT r, page_id, coalesce(translate(regexp_extract(u, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(u, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rest),
+fits AS (SELECT r, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS verdict
+  FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (r)
+"""
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({text(license_scan.normal_text(s))}, {text(k)})" for k, s in license_scan.SENTENCES.items())
+    ordered = sorted(license_scan.RULES, key=lambda r: (-len(r[1]), r[0], r[1]))
+    rules = ", ".join(f"({i}, {text(name)}, {text('|' + '|'.join(run) + '|')})" for i, (name, run) in enumerate(ordered))
+    return rf"""
+WITH known(s, sid) AS (VALUES {known}), rules(n, license, run) AS (VALUES {rules}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?;:]+[	- ]|[.!?;:]+$|
+') AS p FROM documents),
+pieces AS (SELECT r, unnest(p) AS s, unnest(range(len(p))) AS i FROM docs),
+hits AS (SELECT r, i, sid FROM (SELECT r, i, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces) JOIN known USING (s)),
+seqs AS (SELECT r, list(sid ORDER BY i) AS sentence_ids, '|' || string_agg(sid, '|' ORDER BY i) || '|' AS line FROM hits GROUP BY r),
+named AS (SELECT r, list(license ORDER BY n) AS licenses FROM (SELECT r, license, min(n) AS n FROM seqs JOIN rules ON contains(line, run) GROUP BY r, license) GROUP BY r)
+SELECT doc_id, coalesce(sentence_ids, []) AS sentence_ids, coalesce(licenses, []) AS licenses FROM docs LEFT JOIN seqs USING (r) LEFT JOIN named USING (r)
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, budget=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    counted = found.select("doc_id", "n_words", decontaminate.hit_words("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontaminate.items_digest("items").alias("items_sha256"))
+    return counted.withColumn("contaminated", decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")))
+
+
+OP8_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + 12) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS m FROM windows),
+doc_words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+places AS (
+  SELECT r, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS win
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, sizes WHERE len(w) >= m)),
+hits AS (SELECT r, i, m, item_id FROM places JOIN (SELECT item_id, array_to_string(win, ' ') AS win FROM windows) USING (win)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT r, i, m FROM hits)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+
+#: Shards that op9 deals documents to.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op7_simhash": op7_simhash}
+    found = [op1_language_id, op4_url_filter, op6_license_scan, op7_simhash, op8_decontamination, op9_sharding]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL, "op6_license_scan": _op6_sql(), "op8_decontamination": OP8_SQL}
