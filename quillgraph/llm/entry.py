@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontaminate, language_id, license_scan, sharding, simhash, url_filter
+from quillgraph.llm import ann, decontaminate, language_id, license_scan, packing, sharding, simhash, url_filter, warc
 from quillgraph.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing plan of all documents."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = "VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')"
 
 
@@ -40,6 +45,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence sentences and licences of every document."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
@@ -52,7 +63,8 @@ def _op6_sql() -> str:
     rules = ", ".join(f"({i}, {text(name)}, {text('|' + '|'.join(run) + '|')})" for i, (name, run) in enumerate(ordered))
     return rf"""
 WITH known(s, sid) AS (VALUES {known}), rules(n, license, run) AS (VALUES {rules}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?;:]+[	- ]|[.!?;:]+$|
+docs AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?;:]+[	-
+ ]|[.!?;:]+$|
 ') AS p FROM documents),
 pieces AS (SELECT r, unnest(p) AS s, unnest(range(len(p))) AS i FROM docs),
 hits AS (SELECT r, i, sid FROM (SELECT r, i, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces) JOIN known USING (s)),
@@ -105,10 +117,28 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from normalised archives."""
+    return warc.read(warc.archive(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x FROM p),
+f AS (SELECT x, min(page_id) AS first FROM d GROUP BY x),
+b AS (SELECT page_id, n, x, CASE WHEN page_id <> first THEN first END AS refers_to,
+  list_transform(range(8), lambda g: CAST('0x' || substr(x, CAST(5 * g + 1 AS BIGINT), 5) AS BIGINT)) AS five FROM d JOIN f USING (x))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[CAST(i // 4 + 1 AS BIGINT)] >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op4_url_filter, op6_license_scan, op7_simhash, op8_decontamination, op9_sharding]
+    found = [op1_language_id, op3_packing, op4_url_filter, op5_ann, op6_license_scan, op7_simhash, op8_decontamination, op9_sharding, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op6_license_scan": _op6_sql(), "op8_decontamination": OP8_SQL}
+    return {"op4_url_filter": OP4_SQL, "op6_license_scan": _op6_sql(), "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
