@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import ann, decontaminate, language_id, license_scan, packing, sharding, simhash, url_filter, warc
+from quillgraph.llm import ann, decontaminate, language_id, license_scan, packing, sharding, simhash, substring_dedup, url_filter, warc
 from quillgraph.llm.common import table
 
 
@@ -20,6 +20,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that repeat one of an earlier document."""
+    found = substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    names = ("doc_id", "first_word", "end_word", "of_doc_id", "of_first_word", "of_end_word", "similarity")
+    return found.toDF(*names)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packing plan of all documents."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -136,7 +143,7 @@ FROM b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_packing, op4_url_filter, op5_ann, op6_license_scan, op7_simhash, op8_decontamination, op9_sharding, op10_warc]
+    found = [op1_language_id, op2_substring_dedup, op3_packing, op4_url_filter, op5_ann, op6_license_scan, op7_simhash, op8_decontamination, op9_sharding, op10_warc]
     return {f.__name__: f for f in found}
 
 
