@@ -4,8 +4,8 @@ A word that was seen in training scores by its log frequency in every language.
 character n-grams, from the longest length that knows any of them down to single characters.  The scores of a text's
 words add up; the posterior of the best language is the score.
 
-Training reads a bounded sample of labelled rows (``max_train_docs``) and keeps a bounded vocabulary (``max_words``),
-so the model that is broadcast has a fixed greatest size; every text is then predicted whole.
+Training reads a bounded sample of labelled rows (``max_train_docs``) and keeps bounded vocabularies (``max_words``,
+``max_grams``), so the model that is broadcast has a fixed greatest size; every text is then predicted whole.
 
 Defined results
 * text null, empty or without a letter: ``und`` with score 0.0
@@ -35,7 +35,7 @@ UNDETERMINED = "und"
 #: Longest and shortest character n-grams that unseen words fall back to.
 LONGEST, SHORTEST = 5, 1
 #: Unseen words whose fallback a worker remembers at a time.
-REMEMBERED = 50_000
+REMEMBERED = 20_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -50,67 +50,76 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Table:
+    """Log frequencies of known pieces of text in every language: a row number by piece, and a matrix of rows."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], smoothing: float, most: int):
+        total: Counter[str] = Counter()
+        for c in counts.values():
+            total.update(c)
+        known = [x for x, _ in sorted(total.items(), key=lambda kv: (-kv[1], kv[0]))[:most]]
+        self.row = {x: i for i, x in enumerate(known)}
+        share = np.array([[c.get(x, 0) + smoothing for c in counts.values()] for x in known]).reshape(len(known), len(counts))
+        all_ = np.array([sum(c.values()) + smoothing * max(1, len(known)) for c in counts.values()])
+        self.logs = np.log(share / all_).astype(np.float32)
+
+
 class Model:
     """Per-language log frequencies of words and character n-grams."""
 
-    def __init__(self, counts: dict[str, dict[str, int]] | None = None, smoothing: float = 0.5, state: dict | None = None):
+    def __init__(self, counts: dict[str, dict[str, int]] | None = None, max_grams: int = 50_000, smoothing: float = 0.5, state: dict | None = None):
         if state is not None:  # plain containers, as broadcast
             self.__dict__.update(state)
             return
-        counts = counts or {}
-        self.langs = sorted(counts)
-        self.words = self._table(counts, smoothing)
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+        counts = {k: (counts or {})[k] for k in sorted(counts or {})}
+        self.langs = list(counts)
+        words = Table(counts, smoothing, sum(map(len, counts.values())))
+        self.words, self.word_logs = words.row, words.logs
+        self.grams: dict[int, dict[str, int]] = {}
+        self.gram_logs: dict[int, np.ndarray] = {}
         for n in range(SHORTEST, LONGEST + 1):
-            by_lang = {}
-            for lang in self.langs:
-                c: Counter[str] = Counter()
-                for word, times in counts[lang].items():
+            by_lang: dict[str, Counter[str]] = {lang: Counter() for lang in counts}
+            for lang, c in counts.items():
+                for word, times in c.items():
                     for g in grams(word, n):
-                        c[g] += times
-                by_lang[lang] = c
-            self.grams[n] = self._table(by_lang, smoothing)
-
-    def _table(self, counts: dict[str, dict[str, int]], smoothing: float) -> dict[str, np.ndarray]:
-        known = sorted(set().union(*counts.values())) if counts else []
-        total = np.array([[math.log(sum(counts[k].values()) + smoothing * max(1, len(known)))] for k in self.langs])
-        m = np.log(np.array([[counts[k].get(w, 0) + smoothing for w in known] for k in self.langs])) - total if known else None
-        return {w: row for w, row in zip(known, m.T.astype(np.float32).copy())} if known else {}
+                        by_lang[lang][g] += times
+            table = Table(by_lang, smoothing, max_grams)
+            self.grams[n], self.gram_logs[n] = table.row, table.logs
 
     def unseen(self, word: str) -> np.ndarray | None:
         """The mean log frequency of the longest n-grams of ``word`` that are known; None if none is."""
         for n in range(LONGEST, SHORTEST - 1, -1):
-            if found := [v for g in grams(word, n) if (v := self.grams[n].get(g)) is not None]:
-                return sum(found) / len(found)
+            if found := [i for g in grams(word, n) if (i := self.grams[n].get(g)) is not None]:
+                return self.gram_logs[n][found].mean(axis=0, dtype=np.float64)
         return None
 
     def predict(self, text: str | None, memo: dict[str, np.ndarray | None]) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        known = list(map(self.words.get, words))
-        total = np.zeros(len(self.langs))
-        if hits := [v for v in known if v is not None]:
-            total += np.sum(hits, axis=0, dtype=np.float64)
-        if len(hits) < len(words):
-            for word, v in zip(words, known):
-                if v is None:
-                    if word not in memo:
-                        if len(memo) >= REMEMBERED:
-                            memo.clear()
-                        memo[word] = self.unseen(word)
-                    if memo[word] is not None:
-                        total += memo[word]
+        get = self.words.get
+        rows = np.array([get(w, -1) for w in words], np.int64)
+        new = rows < 0
+        total = self.word_logs[rows[~new]].sum(axis=0, dtype=np.float64)
+        for i in np.flatnonzero(new).tolist():
+            word = words[i]
+            if word not in memo:
+                if len(memo) >= REMEMBERED:
+                    memo.clear()
+                memo[word] = self.unseen(word)
+            if memo[word] is not None:
+                total += memo[word]
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train_docs: int = 20_000, max_words: int = 200_000) -> Model:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train_docs: int = 10_000, max_words: int = 50_000, max_grams: int = 50_000) -> Model:
     """Learn a model from labelled rows.
 
     ``max_train_docs``: about so many rows at most are learnt from, taken by a hash of the id over the whole table.
     ``max_words``: so many (label, word) pairs at most are kept, the most frequent ones; rarer words are unseen.
+    ``max_grams``: so many n-grams of each length at most are kept, the most frequent ones.
     """
     rows = train.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("t is not null and l is not null")
     there = rows.select("l").count()
@@ -128,7 +137,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
         for batch in batches:
             for text, lang in zip(*columns(batch, "t", "l")):
                 by[lang].update(words_of(text))
-            if sum(map(len, by.values())) > 500_000:
+            if sum(map(len, by.values())) > 200_000:
                 yield out()
         yield out()
 
@@ -136,7 +145,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, word, n in found:
         counts[lang][word] = n
-    return Model(dict(counts))
+    return Model(dict(counts), max_grams)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
