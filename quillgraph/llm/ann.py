@@ -157,7 +157,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
                 part, at, cells = [], [], []
                 for i in range(start, min(start + 64, len(v))):
                     by: dict[int, list[int]] = {}
-                    for c in visit(np.pad(v[i], (0, wide - dim)), held.value, sizes, share * n):
+                    for c in visit(np.pad(v[i], (0, wide - dim)), held.value, sizes, max(share * n, 10 * (k + 1))):
                         for p in range(parts[c][0], parts[c][1] + 1):
                             by.setdefault(p, []).append(c)
                     part += by
