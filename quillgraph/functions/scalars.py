@@ -244,7 +244,7 @@ def cypher_literal(c: Column, kind: str = "string") -> Column:
 
 def cypher_list(c: Column) -> Column:
     """K4: an array of text."""
-    return F.concat(F.lit("["), F.array_join(F.transform(c, cypher_literal), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: cypher_literal(x)), ", "), F.lit("]"))
 
 
 def occurrences(text: Column, needle: Column) -> Column:

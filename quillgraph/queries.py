@@ -137,12 +137,12 @@ def mentioned_works(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("letters", "persons", sql="""SELECT p.id, any_value(p.label) AS label, count(DISTINCT l.id) AS letters FROM (SELECT id, sender AS pid FROM letters UNION ALL SELECT id, recipient FROM letters) l JOIN persons p ON pid = p.id
-  WHERE person_type = 'historical' AND label <> 'BRAZIL' GROUP BY p.id""")
+  WHERE person_type = 'historical' AND label <> 'NATION_8' GROUP BY p.id""")
 def mentioned_historical(spark: SparkSession, d: str) -> DataFrame:
     """Correspondents stand in for mentioned persons; one nation is the placeholder."""
     c = Corpus(spark, d)
     rows = c.letters.select(F.col("id").alias("letter_id"), F.explode(F.array("sender", "recipient")).alias("entity_id")).where("entity_id is not null")
-    return overview.mentioned_persons(rows, c.persons, "historical", "BRAZIL")
+    return overview.mentioned_persons(rows, c.persons, "historical", "NATION_8")
 
 
 @query("letters", "persons", sql="""SELECT p.id, p.label, count(*) FILTER (role = 's') AS sent, count(*) FILTER (role = 'r') AS received, count(role) AS refs, count(DISTINCT l.id) AS letters
@@ -168,19 +168,19 @@ def directions(spark: SparkSession, d: str) -> DataFrame:
     return overview.directions(Corpus(spark, d).letters, HUB)
 
 
-@query("works", sql="SELECT part, count(*) AS n FROM (SELECT unnest(string_split(lit_type, ' ')) AS part FROM works) WHERE part <> '' GROUP BY 1")
+@query("works", sql="SELECT part, count(*) AS n FROM (SELECT unnest(string_split(label, ' ')) AS part FROM works) WHERE part <> '' GROUP BY 1")
 def occupations_explode(spark: SparkSession, d: str) -> DataFrame:
-    return overview.exploded_counts(Corpus(spark, d).works, "lit_type", " ")
+    return overview.exploded_counts(Corpus(spark, d).works, "label", " ")
 
 
-@query("works", sql="SELECT id, label, lit_type FROM works WHERE contains(lower(label), 're') AND contains(lower(lit_type), 'brass')")
+@query("works", sql="SELECT id, label, lit_type FROM works WHERE contains(lower(label), 'wid') AND contains(lower(lit_type), 'eco')")
 def register_filter(spark: SparkSession, d: str) -> DataFrame:
-    return register.contains_all(Corpus(spark, d).works, {"label": "RE", "lit_type": "brass"}).select("id", "label", "lit_type")
+    return register.contains_all(Corpus(spark, d).works, {"label": "WID", "lit_type": "eco"}).select("id", "label", "lit_type")
 
 
-@query("persons", sql="SELECT id, label, kind FROM persons WHERE contains(lower(label), 'am') OR contains(lower(kind), 'am')")
+@query("persons", sql="SELECT id, label, kind FROM persons WHERE contains(lower(label), 'tion_1') OR contains(lower(kind), 'tion_1')")
 def register_search(spark: SparkSession, d: str) -> DataFrame:
-    return register.contains_anywhere(Corpus(spark, d).persons, ["label", "kind"], "AM").select("id", "label", "kind")
+    return register.contains_anywhere(Corpus(spark, d).persons, ["label", "kind"], "TION_1").select("id", "label", "kind")
 
 
 @query("letters", sql="SELECT id, date FROM letters WHERE date >= '1996-02' AND date <= '1996-04' AND publication_status LIKE 'online%'")
@@ -201,16 +201,16 @@ def detail_list(spark: SparkSession, d: str) -> DataFrame:
     return register.detail_list(Corpus(spark, d).letters, "sender", 600)
 
 
-@query("persons", "works", sql="SELECT id, label, CASE WHEN starts_with(lower(label), 'in') THEN 0 ELSE 1 END AS rank FROM (SELECT id, label FROM persons UNION ALL SELECT id, label FROM works) WHERE contains(lower(label), 'in') ORDER BY rank, label, id LIMIT 10")
+@query("persons", "works", sql="SELECT id, label, CASE WHEN starts_with(lower(label), 'co') THEN 0 ELSE 1 END AS rank FROM (SELECT id, label FROM persons UNION ALL SELECT id, label FROM works) WHERE contains(lower(label), 'co') ORDER BY rank, label, id LIMIT 10")
 def autocomplete(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    return register.autocomplete(c.persons.select("id", "label").unionByName(c.works.select("id", "label")), "In")
+    return register.autocomplete(c.persons.select("id", "label").unionByName(c.works.select("id", "label")), "Co")
 
 
-@query("persons", sql="SELECT id, label, 2 AS rank FROM persons WHERE contains(lower(label), 'united') OR contains(lower(label), 'germany') ORDER BY label, id LIMIT 8")
+@query("persons", sql="SELECT id, label, 2 AS rank FROM persons WHERE contains(lower(label), 'nation_1') OR contains(lower(label), 'province') ORDER BY label, id LIMIT 8")
 def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     """No label has the whole text, so its words count."""
-    return register.lookup_entity(Corpus(spark, d).persons, "united germany")
+    return register.lookup_entity(Corpus(spark, d).persons, "Nation_1 province")
 
 
 # Integrity
@@ -390,9 +390,9 @@ def ego_layout(spark: SparkSession, d: str) -> DataFrame:
     return graph.ring_layout(graph.nearest_ego_nodes(graph.ego_nodes(_edges(c), _nodes(c), "work-7", 2)))
 
 
-@query("letters", "persons", "places", "works", "nodes", sql="SELECT key, type, label, 1 AS rank FROM nodes WHERE lower(label) = 'france' ORDER BY label, key LIMIT 1")
+@query("letters", "persons", "places", "works", "nodes", sql="SELECT key, type, label, 1 AS rank FROM nodes WHERE lower(label) = 'nation_7' ORDER BY label, key LIMIT 1")
 def resolve_label(spark: SparkSession, d: str) -> DataFrame:
-    return graph.resolve(_nodes(Corpus(spark, d)), "France")
+    return graph.resolve(_nodes(Corpus(spark, d)), "Nation_7")
 
 
 @query("letters", "mentions", sql="SELECT *, (SELECT list(entity_id ORDER BY entity_id) FROM (SELECT entity_id FROM mentions WHERE letter_id = 1 ORDER BY 1 LIMIT 25)) AS mentions, (SELECT count(*) FROM mentions WHERE letter_id = 1) AS n_mentions FROM letters WHERE id = 1")
@@ -630,11 +630,11 @@ def register_join(spark: SparkSession, d: str) -> DataFrame:
     return matching.register_join(rows, c.persons, c.places).select("id", "person", "place", "person_id", "place_id")
 
 
-@query("works", sql="SELECT text, min(id) AS entity FROM (SELECT DISTINCT part AS text FROM (SELECT unnest(string_split(p_type, ' ')) AS part FROM part) WHERE part <> '') t LEFT JOIN works ON contains(' ' || lower(lit_type) || ' ', ' ' || lower(text) || ' ') GROUP BY text")
+@query("works", sql="SELECT text, min(id) AS entity FROM (SELECT DISTINCT part AS text FROM (SELECT unnest(string_split(p_name, ' ')) AS part FROM part) WHERE part <> '') t LEFT JOIN works ON contains(' ' || lower(label) || ' ', ' ' || lower(text) || ' ') GROUP BY text")
 def name_contains(spark: SparkSession, d: str) -> DataFrame:
     works = Corpus(spark, d).works
-    texts = works.select(F.explode(F.split("lit_type", " ")).alias("text")).where("text <> ''").distinct()
-    return matching.name_contains(texts, works, label="lit_type")
+    texts = works.select(F.explode(F.split("label", " ")).alias("text")).where("text <> ''").distinct()
+    return matching.name_contains(texts, works)
 
 
 @query(name="fuzzy_link")
@@ -646,10 +646,10 @@ def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
     return matching.fuzzy_link(mentions, bank).select("mention", "entity", F.round("score", 6).alias("score"), "method")
 
 
-@query("mention_rows", "works", sql="SELECT letter_id, entity_id, CASE WHEN w.id IS NULL THEN 'not found' WHEN lit_type LIKE '%BRASS%' THEN 'charter' WHEN lit_type LIKE '%STEEL%' THEN 'historicalSource' ELSE 'other' END AS section, count(*) AS n FROM mention_rows LEFT JOIN (SELECT * FROM works WHERE CAST(substr(id, 6) AS INTEGER) % 9 <> 0) w ON entity_id = w.id GROUP BY ALL")
+@query("mention_rows", "works", sql="SELECT letter_id, entity_id, CASE WHEN w.id IS NULL THEN 'not found' WHEN lit_type LIKE '%ECONOMY%' THEN 'charter' WHEN lit_type LIKE '%PROMO%' THEN 'historicalSource' ELSE 'other' END AS section, count(*) AS n FROM mention_rows LEFT JOIN (SELECT * FROM works WHERE CAST(substr(id, 6) AS INTEGER) % 9 <> 0) w ON entity_id = w.id GROUP BY ALL")
 def works_by_type(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    kind = F.when(F.contains("lit_type", F.lit("BRASS")), "charter").when(F.contains("lit_type", F.lit("STEEL")), "historicalSource").otherwise("x")
+    kind = F.when(F.contains("lit_type", F.lit("ECONOMY")), "charter").when(F.contains("lit_type", F.lit("PROMO")), "historicalSource").otherwise("x")
     works = c.works.where(F.substring("id", 6, 20).cast("int") % 9 != 0).select("id", "label", kind.alias("lit_type"), F.col("author").alias("author_key"))
     persons = c.works.select(F.col("author").alias("id"), F.col("author").alias("label")).distinct()
     return matching.works_by_type(c.mention_rows, works, persons).groupBy("letter_id", "entity_id", "section").agg(F.count("*").alias("n"))
@@ -664,13 +664,13 @@ def search_index(spark: SparkSession, d: str) -> DataFrame:
     return every.select("kind", "id", "title", F.length("text").alias("n"))
 
 
-@query("works", sql="""SELECT id, count(DISTINCT q) AS hits FROM (SELECT id, unnest(string_split_regex(lower(label), '[^\\p{L}\\p{N}]+')) AS term FROM works) JOIN (VALUES ('almo'), ('bluw')) t(q)
+@query("works", sql="""SELECT id, count(DISTINCT q) AS hits FROM (SELECT id, unnest(string_split_regex(lower(label), '[^\\p{L}\\p{N}]+')) AS term FROM works) JOIN (VALUES ('wid'), ('bolz')) t(q)
   ON starts_with(term, q) OR levenshtein(term, q) <= 1 GROUP BY id""")
 def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
     """The set of matches; a whole table's, so that no ranking decides."""
     works = Corpus(spark, d).works
     index = passages.inverted_index(works.select("id", F.col("label").alias("title"), F.lit("").alias("text")))
-    return passages.fulltext_search(index, "almo bluw", limit=1_000_000).select("id", "hits")
+    return passages.fulltext_search(index, "wid bolz", limit=1_000_000).select("id", "hits")
 
 
 # Formats and declarative queries
