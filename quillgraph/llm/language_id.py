@@ -162,9 +162,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a posterior of at least ``min_score``, all columns kept.
 
+    The bound is low on purpose: what has any evidence for a language stays, what has none goes.
     ``lang`` becomes the predicted language.
     """
     held = docs.sparkSession.sparkContext.broadcast(model.__dict__)
