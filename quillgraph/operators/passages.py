@@ -27,9 +27,8 @@ def char_windows(docs: DataFrame, size: int = 1500, overlap: int = 120, key: str
     return docs.where(n > 0).select(F.col(key), F.col(text).alias("t"), F.explode(starts).alias("start")).select(key, "start", F.substring("t", F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of letters only, three at least."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike(r"\A\p{L}{3,}\z"))
+#: What parts words, and what words are terms: of letters only, three at least.
+NOT_TERM, TERM = r"[^\p{L}\p{N}_]+", r"\A\p{L}{3,}\z"
 
 
 def tfidf_top_terms(docs: DataFrame, group: str, key: str, text: str = "text", k: int = 10, max_df: float = 0.9, stopwords: list[str] | None = None) -> DataFrame:
@@ -38,7 +37,8 @@ def tfidf_top_terms(docs: DataFrame, group: str, key: str, text: str = "text", k
     Smoothed inverse document frequency, documents scaled to length one; terms in more than ``max_df`` of all documents
     go.  Everything is an aggregate on (document, term), (term) or (group, term).
     """
-    rows = docs.select(F.col(key).alias("d"), F.col(group).alias("g"), F.explode(tokens(F.col(text))).alias("term"))
+    words = F.explode(F.split(F.lower(F.col(text)), NOT_TERM))
+    rows = docs.select(F.col(key).alias("d"), F.col(group).alias("g"), words.alias("term")).where(F.col("term").rlike(TERM))
     if stopwords:
         rows = rows.where(~F.col("term").isin(stopwords))
     n = docs.agg(F.count("*").alias("n"))
