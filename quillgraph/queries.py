@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import dates as D
 from quillgraph.functions import scalars as S
 from quillgraph.functions import vectors as V
-from quillgraph.operators import graph, integrity, matching, overview, passages, register, retrieval
+from quillgraph.operators import graph, integrity, matching, overview, passages, records, register, retrieval
 from quillgraph.plans import patterns
 from quillgraph.sources import sinks
 from quillgraph.sources.adapter import HUB, Corpus
@@ -766,5 +766,108 @@ def german_dates(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(m) for m in ("Jener", "Hornung", "März", "April", "May", "Juny", "July", "August", "September", "Weinmond", "November", "Christmond")])
     day = F.to_date("date")
     month, year = F.element_at(names, F.month(day)), F.year(day).cast("string")
-    rows = Corpus(spark, d).letters.select("id", F.concat(F.lit("Eppishausen, "), F.dayofmonth(day).cast("string"), F.lit(". "), month, F.lit(" "), year).alias("a"), F.concat(F.lit("im "), month, F.lit(" "), year).alias("b"))
+    rows = Corpus(spark, d).letters.select("id", F.concat(F.lit("Geschrieben, "), F.dayofmonth(day).cast("string"), F.lit(". "), month, F.lit(" "), year).alias("a"), F.concat(F.lit("im "), month, F.lit(" "), year).alias("b"))
     return rows.select("id", D.german_date(F.col("a")).alias("full_date"), D.german_date(F.col("b")).alias("month_date"))
+
+
+# Scalars and records
+
+
+@query("letters", sql="SELECT id, CASE WHEN id % 3 = 0 THEN id || ' (?)' ELSE id || ' (' || date || ')' END AS label, CASE WHEN id % 3 = 0 THEN NULL ELSE substr(date, 1, CASE id % 3 WHEN 1 THEN 7 ELSE 10 END) END AS partial, CASE id % 3 WHEN 1 THEN 'xsd:gYearMonth' WHEN 2 THEN 'xsd:date' END AS rdf_type, CASE id % 3 WHEN 1 THEN 'month' WHEN 2 THEN 'day' END AS date_precision FROM letters")
+def letter_labels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("id")
+    partial = F.when(k % 3 == 1, F.substring("date", 1, 7)).when(k % 3 == 2, F.col("date"))
+    rows = Corpus(spark, d).letters.withColumn("partial", partial)
+    label = S.display_label(F.lit(None).cast("string"), k.cast("string"), F.when(k % 3 != 0, F.col("date")))
+    return rows.select("id", label.alias("label"), "partial", S.rdf_date_type(F.col("partial")).alias("rdf_type"), S.date_precision(F.col("partial")).alias("date_precision"))
+
+
+@query(sql="SELECT page_id, replace(url_encode(url), '%2F', '/') AS quoted, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN url END AS valid FROM pages")
+def url_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return Corpus(spark, d).table("pages").select("page_id", S.url_quoted(F.col("url")).alias("quoted"), S.valid_url(F.col("url")).alias("valid"))
+
+
+@query("letters", sql="SELECT a.id, abs(date_diff('day', CAST(a.date AS DATE), DATE '1996-07-01')) AS days FROM letters a")
+def day_differences(spark: SparkSession, d: str) -> DataFrame:
+    return Corpus(spark, d).letters.select("id", S.day_diff(F.col("date"), F.lit("1996-07-01T12:00")).alias("days"))
+
+
+@query("texts", sql="SELECT letter_id, CAST(len(string_split(text, ' the ')) - 1 AS INTEGER) AS n, CAST(CASE WHEN contains(text, ' the ') THEN strpos(text, ' the ') - 1 END AS INTEGER) AS first FROM texts")
+def text_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    at = S.occurrences(F.col("text"), F.lit(" the "))
+    return Corpus(spark, d).texts.select("letter_id", F.size(at).alias("n"), F.try_element_at(at, F.lit(1)).alias("first"))
+
+
+@query("texts", sql="SELECT letter_id, substr(text, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0)) || '[' || substr(text, s + 1, 5) || ']' || substr(text, s + 6, 60) AS context FROM (SELECT letter_id, text, CAST(letter_id % 90 AS INTEGER) AS s FROM texts WHERE length(text) > 200)")
+def span_contexts(spark: SparkSession, d: str) -> DataFrame:
+    t = Corpus(spark, d).texts.where("length(text) > 200")
+    spans = t.select("letter_id", (F.col("letter_id") % 90).cast("int").alias("start"), ((F.col("letter_id") % 90) + 5).cast("int").alias("end"))
+    return passages.with_context(spans, t).select("letter_id", "context")
+
+
+@query("spans", sql='SELECT letter_id, model, start, "end", label, text, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY letter_id, model ORDER BY start, "end", label, text, score) AS rank FROM (SELECT DISTINCT letter_id, model, start, "end", label, min(text) AS text, min(score) AS score FROM spans GROUP BY ALL)) WHERE rank <= 2')
+def first_spans(spark: SparkSession, d: str) -> DataFrame:
+    one = _spans(Corpus(spark, d)).groupBy("letter_id", "model", "start", "end", "label").agg(F.min("text").alias("text"), F.min("score").alias("score"))
+    return passages.first_spans(one, 2)
+
+
+@query("letters", sql="SELECT sender, min(id) AS id, arg_min(date, id) AS date FROM letters GROUP BY sender")
+def keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return records.keep_first(Corpus(spark, d).letters, ["sender"], ["id"]).select("sender", "id", "date")
+
+
+@query("works", sql="SELECT id, author, 'w-' || lpad(CAST(100 + row_number() OVER (PARTITION BY author ORDER BY id) AS VARCHAR), 4, '0') AS new_id FROM works")
+def assigned_ids(spark: SparkSession, d: str) -> DataFrame:
+    return records.assign_ids(Corpus(spark, d).works, "w-", "author", ["id"], 100).select("id", "author", "new_id")
+
+
+@query("persons", sql="SELECT id, label FROM persons WHERE contains(lower(label), 'n_2')")
+def register_picker(spark: SparkSession, d: str) -> DataFrame:
+    return records.picker(Corpus(spark, d).persons, "N_2")
+
+
+@query("chunks", sql="SELECT cluster, count(*) AS n FROM chunks GROUP BY 1")
+def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return records.cluster_sizes(Corpus(spark, d).chunks)
+
+
+@query("letters", "mentions", sql="""SELECT id, '{"id":' || id || ',"sender":"' || sender || '",' || CASE WHEN recipient IS NULL THEN '' ELSE '"recipient":"' || recipient || '",' END || '"date":"' || date || '","mentions":[' || coalesce((SELECT string_agg('"' || entity_id || '"', ',' ORDER BY entity_id) FROM mentions WHERE letter_id = id), '') || ']}' AS value FROM letters""")
+def rag_export(spark: SparkSession, d: str) -> DataFrame:
+    c = Corpus(spark, d)
+    return sinks.rag_json(c.letters, c.mentions)
+
+
+@query("letters", "persons", "places", "works", "mention_rows", "edges", "nodes", sql="""SELECT 'node' AS part, '{"key":"' || key || '","attributes":{"type":"' || type || '"' || CASE WHEN label IS NULL THEN '' ELSE ',"label":"' || label || '"' END || CASE WHEN date IS NULL THEN '' ELSE ',"date":"' || date || '"' END || '}}' AS value FROM nodes
+  UNION ALL SELECT 'edge', '{"source":"' || source || '","target":"' || target || '","attributes":{"type":"' || type || '"}}' FROM edges""")
+def graph_export(spark: SparkSession, d: str) -> DataFrame:
+    c = Corpus(spark, d)
+    return sinks.graph_json(_nodes(c), _edges(c))
+
+
+@query("persons", sql="SELECT string_agg(id || ';' || label, '|' ORDER BY id) AS value FROM persons")
+def lookup_string(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.lookup_string(Corpus(spark, d).persons)
+
+
+@query("mentions", "works", sql="SELECT letter_id, 'work' AS kind, m.entity_id, label FROM (SELECT DISTINCT l_orderkey AS letter_id, 'work-' || l_partkey AS entity_id FROM lineitem WHERE l_linenumber <> 1) m LEFT JOIN (SELECT * FROM works WHERE CAST(substr(id, 6) AS INTEGER) % 9 <> 0) w ON m.entity_id = w.id")
+def derived_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Keys marked in texts; the first line of each letter has none."""
+    c = Corpus(spark, d)
+    marks = c.table("lineitem").select(F.col("l_orderkey").alias("letter_id"), F.lit("work").alias("kind"), F.when(F.col("l_linenumber") != 1, F.concat(F.lit("../works.xml#work-"), F.col("l_partkey").cast("string"))).otherwise("").alias("key"))
+    return records.derived_mentions(marks, {"work": c.works.where(F.substring("id", 6, 20).cast("int") % 9 != 0)})
+
+
+@query("letters", "mentions", "chunks", "vectors", "neighbors5", "shared", "context", "related", sql="""SELECT r.anchor AS letter_id, CAST(rank AS INTEGER) AS rank, string_agg(CASE stage WHEN 0 THEN 'similar content' WHEN 1 THEN 'shares ' || -major || ' register mentions' ELSE 'same correspondence, ' || days_apart || ' days apart' END, '; ' ORDER BY stage, major, tie) AS reasons
+  FROM related r JOIN events e ON r.anchor = e.anchor AND r.id = e.id LEFT JOIN context c ON c.letter = e.anchor AND c.other = e.id WHERE rank <= 6 GROUP BY ALL""")
+def related_reasons(spark: SparkSession, d: str) -> DataFrame:
+    c = Corpus(spark, d)
+    found = retrieval.related_letters(retrieval.letter_vectors(c.chunks), c.mentions, c.letters)
+    return found.select("letter_id", "rank", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(name="cypher_batches")
+def cypher_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Statements in transactions of 500 at most; how they are dealt follows a hash that SQL doesn't have."""
+    c = Corpus(spark, d)
+    nodes = _nodes(c)
+    return sinks.batches(sinks.edge_statements(graph.merged_edges(_edges(c), nodes), nodes)).select("stage", "folder", "part", "statements")

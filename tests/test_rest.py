@@ -50,8 +50,8 @@ def test_matching(spark):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, sig string, other string")
     new = spark.createDataFrame([(2, "B")], "id int, sig string")
     assert [tuple(r) for r in matching.apply_updates(rows, new, "id", ["sig"]).orderBy("id").collect()] == [(1, "a", "x"), (2, "B", "y")]
-    m = spark.createDataFrame([("m1", "Droste, Annette", "person"), ("m2", "Niemand", "person")], "mention string, text string, kind string")
-    b = spark.createDataFrame([("p1", "Annette Droste", "person"), ("p2", "Anna Drost", "person"), ("w1", "Annette Droste", "work")], "entity string, label string, kind string")
+    m = spark.createDataFrame([("m1", "Bergmann, Annette", "person"), ("m2", "Niemand", "person")], "mention string, text string, kind string")
+    b = spark.createDataFrame([("p1", "Annette Bergmann", "person"), ("p2", "Anna Bergm", "person"), ("w1", "Annette Bergmann", "work")], "entity string, label string, kind string")
     got = {r.mention: (r.entity, r.method) for r in matching.fuzzy_link(m, b, accept=80).collect()}
     assert got == {"m1": ("p1", "fuzzy"), "m2": (None, "none")}
 

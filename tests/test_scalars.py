@@ -39,7 +39,7 @@ def test_dates(of):
     assert of(S.day_diff(A, B), "1825-01-01", "1825-01-11T00") == 10 and of(S.day_diff(A, B), "1825-01", "1825-01-11") is None
     assert of(S.day_diff(A, B), "1825-02-30", "1825-01-11") is None
     assert [of(S.year_of(A), d) for d in ("1825-01", "ca. 1825", "182", None)] == [1825, None, None, None]
-    assert of(D.german_date(A), "Eppishausen den 16. Hornungs 1821") == "1821-02-16"
+    assert of(D.german_date(A), "Ort, den 16. Hornungs 1821") == "1821-02-16"
     assert of(D.german_date(A), "im Februar 1821 oder 1822") == "1821-02-" and of(D.german_date(A), "1. Foobar 1821") is None
     assert of(D.dateline(A), "[12. 5. 23]") == "1823-05-12" and of(D.dateline(A), "12.13.1823") is None
 
@@ -74,7 +74,7 @@ def test_texts(of):
     assert of(S.flip_author(A), "Goethe, Johann") == "Johann Goethe" and of(S.flip_author(A), "Anonymus") == "Anonymus"
     assert of(S.named_ids(A), "Anna (p1) | Bea (p2, p3) | ? (none)") == ["p1", "p2"]
     assert of(S.citation(F.array(A), B), "A", "T") == "A: T." and of(S.citation(F.array(A), B), "A", "T.") == "A: T."
-    assert of(S.split_camel(A), "HansMüller-") == "Hans Müller" and of(S.last_name(A), "Frhr. v. Droste") == "Droste"
+    assert of(S.split_camel(A), "HansMüller-") == "Hans Müller" and of(S.last_name(A), "Frhr. v. Berg") == "Berg"
     assert of(S.flatten_idno(F.expr("array(named_struct('type', 'a', 'value', '1'), named_struct('type', '', 'value', '2'))"))) == ["a:1"]
     assert of(S.strip_tags(A), "<a>x</a>y") == "xy" and of(S.is_coordinates(A), " 47.5, -9.2") and not of(S.is_coordinates(A), "47.5")
     assert of(S.citations(A, "ed"), "see ed-letter-0001 and ed-letter-22") == ["ed-letter-0001", "ed-letter-22"]
@@ -88,7 +88,7 @@ def test_status(of):
 
 def test_similarity(spark):
     assert M.common_length("abcbdab", "bdcaba") == 4
-    assert M.token_set_ratio("anna von droste", "droste anna") == 100.0 and M.token_set_ratio("", "x") == 0.0
+    assert M.token_set_ratio("anna von berg", "berg anna") == 100.0 and M.token_set_ratio("", "x") == 0.0
     assert abs(M.indel_ratio("abcd", "abxd") - 75.0) < 1e-9
     got = spark.createDataFrame([("a b", "b a"), (None, "x")], "a string, b string").select(M.token_set_similarity("a", "b").alias("v")).collect()
     assert [r.v for r in got] == [100.0, 0.0]
