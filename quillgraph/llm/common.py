@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session names none (tests) one is made."""
+    """The folder that driver and executors share, as the session names it.  In local mode (tests) one is made if it names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillgraph-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -151,12 +152,17 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def put(path: str, data: list[bytes]) -> None:
-    """Write a file under a temporary name, then give it its own."""
+    """Write a file under a temporary name of its own, then give it its name, in place of one from an earlier attempt."""
     fs, at = file_system(path)
-    with fs.open_output_stream(f"{at}.part", compression=None) as out:
+    part = f"{at}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as out:
         for piece in data:
             out.write(piece)
-    fs.move(f"{at}.part", at)
+    try:
+        fs.move(part, at)
+    except OSError:  # a file system that doesn't move onto a file that is there
+        fs.delete_file(at)
+        fs.move(part, at)
 
 
 def normalise(streams: DataFrame, target: str) -> DataFrame:
