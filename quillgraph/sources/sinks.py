@@ -104,25 +104,34 @@ def triple(df: DataFrame, s: Column, p: str, o: Column, kind: str = "literal", o
     return df.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), (o_type if o_type is not None else F.lit(None)).cast("string").alias("o_type")).where("coalesce(o, '') <> ''")
 
 
-def letter_triples(letters: DataFrame, base: str) -> DataFrame:
-    """K6: a letter's sending, receiving and date; letters (id, sender, recipient, place, date)."""
+def letter_triples(letters: DataFrame, base: str, one_pass: bool = False) -> DataFrame:
+    """K6: a letter's sending, receiving and date; letters (id, sender, recipient, place, date).
+
+    As a union, each kind of triple is a branch of its own, so that a pattern with a fixed predicate reads only its
+    branch and the columns of that.  With ``one_pass``, letters are read once and give all their triples: for exports of letters that are dear to compute.
+    """
     uri = S.entity_uri(base, F.lit("letter"), F.col("id").cast("string"))
     sent, received, date = F.concat(uri, F.lit("/sent")), F.concat(uri, F.lit("/received")), F.concat(uri, F.lit("/sent/date"))
-    has_sent = letters.where("coalesce(sender, '') <> '' or coalesce(place, '') <> '' or coalesce(date, '') <> ''")
-    has_received, dated = letters.where("coalesce(recipient, '') <> ''"), letters.where("coalesce(date, '') <> ''")
+    filled = lambda *cs: F.coalesce(*[S.blank_to_null(F.col(c)) for c in cs]).isNotNull()
+    always, has_sent, dated, has_received = F.lit(True), filled("sender", "place", "date"), filled("date"), filled("recipient")
     ent = lambda kind, c: S.entity_uri(base, F.lit(kind), S.blank_to_null(F.col(c)))
     xsd = F.replace(S.rdf_date_type(F.col("date")), F.lit("xsd:"), F.lit(XSD))
     day = F.when(S.date_precision(F.col("date")) == "day", F.lit(f"{CSVOC}Day")).otherwise(F.lit(f"{CSVOC}ApproxTimespan"))
-    c = lambda x: F.lit(CSVOC + x)
-    out = [
-        triple(letters, uri, f"{RDF}type", c("Letter"), "uri"), triple(letters, uri, f"{RDFS}label", F.col("id")), triple(dated, uri, f"{SCHEMA}dateCreated", F.col("date")),
-        triple(has_sent, uri, f"{CSVOC}hasCorrespAction", sent, "uri"), triple(has_sent, sent, f"{RDF}type", c("correspAction"), "uri"), triple(has_sent, sent, f"{RDF}type", c("Sent"), "uri"),
-        triple(letters, sent, f"{CSVOC}hasParticipant", ent("person", "sender"), "uri"), triple(letters, sent, f"{CSVOC}tookPlaceAt", ent("place", "place"), "uri"),
-        triple(dated, sent, f"{CSVOC}hasTimespan", date, "uri"), triple(dated, date, f"{RDF}type", day, "uri"), triple(dated, date, f"{CSVOC}startsOn", F.col("date"), "literal", xsd),
-        triple(has_received, uri, f"{CSVOC}hasCorrespAction", received, "uri"), triple(has_received, received, f"{RDF}type", c("correspAction"), "uri"), triple(has_received, received, f"{RDF}type", c("Received"), "uri"),
-        triple(has_received, received, f"{CSVOC}hasParticipant", ent("person", "recipient"), "uri"),
+    term, none = (lambda x: F.lit(CSVOC + x)), F.lit(None).cast("string")
+    # (condition, subject, predicate, object, kind, type)
+    kinds = [
+        (always, uri, f"{RDF}type", term("Letter"), "uri", none), (always, uri, f"{RDFS}label", F.col("id").cast("string"), "literal", none),
+        (dated, uri, f"{SCHEMA}dateCreated", F.col("date"), "literal", none), (has_sent, uri, f"{CSVOC}hasCorrespAction", sent, "uri", none),
+        (has_sent, sent, f"{RDF}type", term("correspAction"), "uri", none), (has_sent, sent, f"{RDF}type", term("Sent"), "uri", none),
+        (filled("sender"), sent, f"{CSVOC}hasParticipant", ent("person", "sender"), "uri", none), (filled("place"), sent, f"{CSVOC}tookPlaceAt", ent("place", "place"), "uri", none),
+        (dated, sent, f"{CSVOC}hasTimespan", date, "uri", none), (dated, date, f"{RDF}type", day, "uri", none), (dated, date, f"{CSVOC}startsOn", F.col("date"), "literal", xsd),
+        (has_received, uri, f"{CSVOC}hasCorrespAction", received, "uri", none), (has_received, received, f"{RDF}type", term("correspAction"), "uri", none),
+        (has_received, received, f"{RDF}type", term("Received"), "uri", none), (has_received, received, f"{CSVOC}hasParticipant", ent("person", "recipient"), "uri", none),
     ]
-    return reduce(DataFrame.unionByName, out)
+    if not one_pass:
+        return reduce(DataFrame.unionByName, [triple(letters.where(c), s, p, o, kind, t) for c, s, p, o, kind, t in kinds])
+    row = lambda s, p, o, kind, t: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), t.alias("o_type"))
+    return letters.select(F.explode(F.array_compact(F.array(*[F.when(k[0], row(*k[1:])) for k in kinds]))).alias("t")).select("t.*")
 
 
 def mention_triples(mentions: DataFrame, base: str, kind: str) -> DataFrame:

@@ -106,6 +106,13 @@ def test_sinks(spark, tmp_path):
     assert sinks.filled_template(spark.range(1).select(F.lit("x").alias("a"), F.lit(None).cast("string").alias("b")), "<{a}{b}>", ["a", "b"]).first().value == "<x>"
 
 
+def test_triples_either_way(spark):
+    letters = Corpus(spark, D).letters
+    gaps = letters.limit(50).union(spark.createDataFrame([(-1, None, "p", "", "1825-01", None, None), (-2, "", None, None, None, None, None)], letters.schema))
+    both = [sorted(map(str, sinks.letter_triples(gaps, "https://e.org/", one).collect())) for one in (False, True)]
+    assert both[0] == both[1] and len(both[0]) > 500
+
+
 def test_patterns(spark):
     t = spark.createDataFrame([("a", "knows", "b"), ("b", "knows", "c"), ("c", "knows", "c"), ("a", "name", "Anna")], "s string, p string, o string")
     assert {(r.x, r.z) for r in patterns.match(t, [("?x", "knows", "?y"), ("?y", "knows", "?z")]).collect()} == {("a", "c"), ("b", "c"), ("c", "c")}
