@@ -108,7 +108,7 @@ def test_sinks(spark, tmp_path):
 
 def test_triples_either_way(spark):
     letters = Corpus(spark, D).letters
-    gaps = letters.limit(50).union(spark.createDataFrame([(-1, None, "p", "", "1825-01", None, None), (-2, "", None, None, None, None, None)], letters.schema))
+    gaps = letters.limit(50).union(spark.createDataFrame([(-1, None, "p", "", "1825-01", None, ""), (-2, "", None, None, None, None, "")], letters.schema))
     both = [sorted(map(str, sinks.letter_triples(gaps, "https://e.org/", one).collect())) for one in (False, True)]
     assert both[0] == both[1] and len(both[0]) > 500
 
