@@ -44,23 +44,23 @@ RECORDS = 4096
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def sha1_base32(payload: Column) -> Column:
-    """SHA-1 in upper-case base32: each five hex digits are four characters."""
-    digits = F.sha1(payload)
-    groups = [F.conv(F.substring(digits, 1 + 5 * i, 5), 16, 10).cast("int") for i in range(8)]
-    return F.concat(*[F.substring(F.lit(BASE32), (F.shiftright(g, 15 - 5 * j).bitwiseAND(31) + 1), F.lit(1)) for g in groups for j in range(4)])
+def base32_of(digits: Column) -> Column:
+    """A SHA-1 in hex as upper-case base32: each ten hex digits are eight characters."""
+    groups = [F.conv(F.substring(digits, 1 + 10 * i, 10), 16, 10).cast("long") for i in range(4)]
+    return F.concat(*[F.substring(F.lit(BASE32), (F.shiftright(g, 35 - 5 * j).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for g in groups for j in range(8)])
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """(id, url, payload, size, digest, of): ``of`` is the id that a revisit refers to.
 
-    Payloads of at least ``least`` bytes are compared.
+    Payloads of at least ``least`` bytes are compared.  Digests are counted before payloads meet them, and only those
+    that occur again are joined.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("size"), sha1_base32(html.cast("binary")).alias("digest"))
-    firsts = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"))
-    joined = rows.join(firsts, ["digest", "size"], "left")
-    return joined.select("id", "url", "payload", "size", "digest", F.when(F.col("id") != F.col("first"), F.col("first")).alias("of"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha"))
+    again = rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = rows.join(again, ["sha", "size"], "left")
+    return joined.select("id", "url", "payload", "size", base32_of(F.col("sha")).alias("digest"), F.when(F.col("id") != F.col("first"), F.col("first")).alias("of"))
 
 
 def rendered(found: DataFrame) -> DataFrame:
