@@ -35,7 +35,7 @@ def tfidf_top_terms(docs: DataFrame, group: str, key: str, text: str = "text", k
     """(group, term, weight, rank): terms by their mean weight over a group's documents.
 
     Smoothed inverse document frequency, documents scaled to length one; terms in more than ``max_df`` of all documents
-    go.  Everything is an aggregate on (document, term), (term) or (group, term).
+    go.  Everything is an aggregate on (document, term), (term) or (group, term), but for a document's length, a window.
     """
     words = F.explode(F.split(F.lower(F.col(text)), NOT_TERM))
     rows = docs.select(F.col(key).alias("d"), F.col(group).alias("g"), words.alias("term")).where(F.col("term").rlike(TERM))
@@ -46,8 +46,8 @@ def tfidf_top_terms(docs: DataFrame, group: str, key: str, text: str = "text", k
     tf = rows.groupBy("g", "d", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= F.col("n") * max_df).select("term", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(df, "term").select("g", "d", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    lengths = weighted.groupBy("d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    mean = weighted.join(lengths, "d").groupBy("g", "term").agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(F.broadcast(sizes), "g").select("g", "term", F.round(F.col("s") / F.col("docs"), 9).alias("weight"))
+    scaled = weighted.withColumn("len", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("d"))))
+    mean = scaled.groupBy("g", "term").agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(F.broadcast(sizes), "g").select("g", "term", F.round(F.col("s") / F.col("docs"), 9).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), "term"))
     return mean.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("g").alias(group), "term", "weight", "rank")
 
