@@ -19,7 +19,7 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from quillgraph.llm.common import ascii_lower_words, columns, written
 
 SEED = 42
 TOP_BITS = 16
-#: Pairs of trie nodes that a task holds at a time.
-FRONTIER = 200_000
+#: Pairs of trie nodes that are expanded at a time; a task holds a few such blocks for each level that it is down.
+FRONTIER = 16_384
 #: Nodes with so few fingerprints are compared directly.
 SMALL = 4
 
@@ -134,16 +134,29 @@ class Forest:
                 up[:] = jumped
 
 
-def near_pairs(own: np.ndarray, other: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def alike(low: np.ndarray, high: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Whether all labels of a range are the same."""
+    changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+    return changes[low] == changes[high - 1]
+
+
+def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) with own[i] and other[j] at most ``budget`` bits apart.  Both are sorted and distinct.
 
     Two tries are traversed together.  A trie node is a range of a sorted array; a pair of nodes carries the number of
-    bits in which their paths differ.
+    bits in which their paths differ.  ``labels`` gives the components so far of both arrays: a pair of nodes that are
+    wholly in one component has nothing more to link and isn't entered, so a dense group isn't gone through pair by pair.
     """
     one = np.uint64(1)
     todo = [(0, np.array([[0, len(own), 0, len(other), 0]], np.int64))] if len(own) and len(other) else []
     while todo:
         level, pairs = todo.pop()
+        if labels is not None:
+            x, y = labels()
+            linked = (x[pairs[:, 0]] == y[pairs[:, 2]]) & alike(pairs[:, 0], pairs[:, 1], x) & alike(pairs[:, 2], pairs[:, 3], y)
+            pairs = pairs[~linked]
+            if not len(pairs):
+                continue
         small = ((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= SMALL) | (level == 64)
         if small.any():
             now = pairs[small]
@@ -224,7 +237,7 @@ def links(distinct: DataFrame, budget: int = 2, node_size: int = 8192) -> DataFr
             every = np.unique(fp)
             mine = np.unique(fp[own])
             forest, where = Forest(len(every)), np.searchsorted(every, mine)
-            for i, j in near_pairs(mine, every, budget):
+            for i, j in near_pairs(mine, every, budget, lambda: (forest.up[where], forest.up)):
                 forest.union(where[i], j)
             child = np.flatnonzero(forest.up != np.arange(len(every)))
             return pa.RecordBatch.from_arrays([pa.array(every[child].view(np.int64)), pa.array(every[forest.up[child]].view(np.int64))], names=["a", "b"])

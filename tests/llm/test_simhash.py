@@ -52,6 +52,20 @@ def test_trie_join_finds_all_pairs(seeds, budget, rnd):
     assert got == {(i, j) for i in range(len(x)) for j in range(len(x)) if (int(x[i]) ^ int(x[j])).bit_count() <= budget}
 
 
+def test_dense_group_is_linked_without_all_its_pairs():
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 1 << 63))
+    x = np.unique(np.array([base ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 64, (3000, 2))] + [int(v) for v in rng.integers(0, 1 << 63, 500)], np.uint64))
+    forest, pairs = S.Forest(len(x)), 0
+    for i, j in S.near_pairs(x, x, 2, lambda: (forest.up, forest.up)):
+        forest.union(i, j)
+        pairs += len(i)
+    every = [(int(i), int(j)) for a, b in S.near_pairs(x, x, 2) for i, j in zip(a, b)]
+    want = S.Forest(len(x))
+    want.union(np.array([e[0] for e in every]), np.array([e[1] for e in every]))
+    assert forest.up.tolist() == want.up.tolist() and pairs < len(every)
+
+
 @given(st.lists(st.integers(0, 2**16 - 1), min_size=1, max_size=60), st.integers(1, 10))
 @settings(max_examples=40, deadline=None)
 def test_cut_trie_pairs(prefixes, most):
