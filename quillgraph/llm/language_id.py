@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ class Model:
         words = Table(counts, smoothing, sum(map(len, counts.values())))
         self.words, self.word_logs = words.row, words.logs
         self.grams: dict[int, dict[str, int]] = {}
-        self.gram_logs: dict[int, np.ndarray] = {}
+        logs, held = [np.zeros((0, len(counts)), np.float32)], 0
         for n in range(SHORTEST, LONGEST + 1):
             by_lang: dict[str, Counter[str]] = {lang: Counter() for lang in counts}
             for lang, c in counts.items():
@@ -84,16 +85,21 @@ class Model:
                     for g in grams(word, n):
                         by_lang[lang][g] += times
             table = Table(by_lang, smoothing, max_grams)
-            self.grams[n], self.gram_logs[n] = table.row, table.logs
+            self.grams[n] = {g: held + i for g, i in table.row.items()}
+            logs.append(table.logs)
+            held += len(table.row)
+        self.gram_logs = np.concatenate(logs)
 
-    def unseen(self, word: str) -> np.ndarray | None:
-        """The mean log frequency of the longest n-grams of ``word`` that are known; None if none is."""
+    def unseen(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of ``word`` that are known; none if none is."""
         for n in range(LONGEST, SHORTEST - 1, -1):
-            if found := [i for g in grams(word, n) if (i := self.grams[n].get(g)) is not None]:
-                return self.gram_logs[n][found].mean(axis=0, dtype=np.float64)
-        return None
+            get = self.grams[n].get
+            if found := [i for g in grams(word, n) if (i := get(g)) is not None]:
+                return found
+        return []
 
-    def predict(self, text: str | None, memo: dict[str, np.ndarray | None]) -> tuple[str, float]:
+    def predict(self, text: str | None, memo: dict[str, list[int]]) -> tuple[str, float]:
+        """The best language and its posterior.  A known word adds its log frequencies, an unseen one the mean of its n-grams'."""
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
@@ -101,14 +107,19 @@ class Model:
         rows = np.array([get(w, -1) for w in words], np.int64)
         new = rows < 0
         total = self.word_logs[rows[~new]].sum(axis=0, dtype=np.float64)
+        pieces: list[list[int]] = []
         for i in np.flatnonzero(new).tolist():
             word = words[i]
-            if word not in memo:
+            found = memo.get(word)
+            if found is None:
                 if len(memo) >= REMEMBERED:
                     memo.clear()
-                memo[word] = self.unseen(word)
-            if memo[word] is not None:
-                total += memo[word]
+                found = memo[word] = self.unseen(word)
+            if found:
+                pieces.append(found)
+        if pieces:
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            total += np.repeat(1.0 / sizes, sizes) @ self.gram_logs[list(chain.from_iterable(pieces))]
         p = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(p[best] / p.sum())
