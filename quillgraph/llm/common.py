@@ -23,7 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillgraph-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return qualified(spark, path.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and authority of the file system that Spark takes it to be on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,10 +37,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and computes it once."""
+#: Rows in a file of an intermediate table whose size is known beforehand.
+ROWS_PER_FILE = 100_000
+
+
+def files_for(rows: int) -> int:
+    """Files for a table of narrow rows."""
+    return max(1, -(-rows // ROWS_PER_FILE))
+
+
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and computes it once.
+
+    ``files``: how many at most, for tables that are small for the number of shuffle partitions.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import scratch_path
+from quillgraph.llm.common import qualified, scratch_path
 
 CRLF = "\r\n"
 #: Bytes inflated at a time.
@@ -238,7 +238,7 @@ def read(archives: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None, **names: str) -> DataFrame:
     """Write, normalise and index the pages' archives below ``folder`` (by default in the shared one); (archive, index, records)."""
     spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
+    folder = qualified(spark, folder) if folder else scratch_path(spark, "warc")
     write_streams(pages, f"{folder}/streams", **names)
     streams = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{folder}/streams")
     normalise(streams, f"{folder}/archives").write.parquet(f"{folder}/catalog")

@@ -49,9 +49,9 @@ def test_round_trip(spark, tmp_path):
         assert by[i].payload_bytes == len(raw) and by[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
     # every record is a member of its own, where the index says, and together they are the stream
     for c in catalog.collect():
-        data = open(c.archive.removeprefix("file://"), "rb").read()
+        data = open(W.file_system(c.archive)[1], "rb").read()
         at = 0
-        for line in open(c["index"].removeprefix("file://")):
+        for line in open(W.file_system(c["index"])[1]):
             x = json.loads(line)
             assert x["offset"] == at
             z = zlib.decompressobj(31)
