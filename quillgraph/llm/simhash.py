@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import ascii_lower_words, columns, written
+from quillgraph.llm.common import ascii_lower_words, columns, files_for, written
 
 SEED = 42
 TOP_BITS = 16
@@ -259,7 +259,7 @@ def links(distinct: DataFrame, budget: int = 2, node_size: int = 8192) -> DataFr
     return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(join, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root being the smallest node of its component.
 
     Alternates large-star and small-star until the edges no longer change: a logarithmic number of rounds in practice.
@@ -279,9 +279,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
         return near.union(least.select(F.col("u"), F.col("m"))).toDF("a", "b").where("a <> b").distinct()
 
-    now, before = written(edges.where("a <> b").select("a", "b"), "edges"), None
+    now, before = written(edges.where("a <> b").select("a", "b"), "edges", files), None
     for _ in range(max_rounds):
-        now = written(star(star(now, True), False), "edges")
+        now = written(star(star(now, True), False), "edges", files)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -292,8 +292,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2) -> DataFrame:
     """(id, fp, component_id) for every row: the smallest id reachable over links of at most ``budget`` bits."""
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    reps = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "reps")
-    found = components(links(reps.select("fp"), budget))
+    files = files_for(prints.count())
+    reps = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "reps", files)
+    found = components(links(reps.select("fp"), budget), files)
     rooted = reps.join(found, reps.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
