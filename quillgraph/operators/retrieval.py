@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import dot, doubles, unit
+from quillgraph.functions.vectors import dot, unit
 from quillgraph.operators.graph import correspondence_context, shared_mentions
 from quillgraph.operators.register import between_dates
 
