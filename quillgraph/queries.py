@@ -123,7 +123,7 @@ def sending_places(spark: SparkSession, d: str) -> DataFrame:
     return overview.sending_places(c.letters, c.places)
 
 
-@query("letters", "places", sql="""SELECT id, letters, 5.0 + least(letters, 30) * 0.5 AS radius, round(4.0 + 16.0 * sqrt(letters / max(letters) OVER ()), 6) AS area_radius
+@query("letters", "places", sql="""SELECT id, letters, CAST(5.0 + least(letters, 30) * 0.5 AS DOUBLE) AS radius, round(4.0 + 16.0 * sqrt(letters / max(letters) OVER ()), 6) AS area_radius
   FROM (SELECT place AS id, count(*) AS letters FROM letters WHERE place IN (SELECT id FROM places WHERE lat IS NOT NULL) GROUP BY ALL)""")
 def map_markers(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
@@ -355,7 +355,7 @@ def shared_mentions(spark: SparkSession, d: str) -> DataFrame:
     return graph.shared_mentions(Corpus(spark, d).mentions)
 
 
-@query("letters", "context", sql="SELECT * FROM context")
+@query("letters", "context", sql="SELECT letter, other, CAST(days_apart AS INTEGER) AS days_apart FROM context")
 def correspondence_context(spark: SparkSession, d: str) -> DataFrame:
     return graph.correspondence_context(Corpus(spark, d).letters)
 
@@ -655,7 +655,7 @@ def works_by_type(spark: SparkSession, d: str) -> DataFrame:
     return matching.works_by_type(c.mention_rows, works, persons).groupBy("letter_id", "entity_id", "section").agg(F.count("*").alias("n"))
 
 
-@query("persons", "works", "texts", sql="""SELECT kind, id, title, length(text) AS n FROM (SELECT 'person' AS kind, id, label AS title, NULL AS text FROM persons UNION ALL SELECT 'work', id, label, NULL FROM works
+@query("persons", "works", "texts", sql="""SELECT kind, id, title, CAST(length(text) AS INTEGER) AS n FROM (SELECT 'person' AS kind, id, label AS title, NULL AS text FROM persons UNION ALL SELECT 'work', id, label, NULL FROM works
   UNION ALL SELECT 'letter', CAST(letter_id AS VARCHAR), CAST(letter_id AS VARCHAR), text FROM texts)""")
 def search_index(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
@@ -787,7 +787,7 @@ def url_quotes(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(spark, d).table("pages").select("page_id", S.url_quoted(F.col("url")).alias("quoted"), S.valid_url(F.col("url")).alias("valid"))
 
 
-@query("letters", sql="SELECT a.id, abs(date_diff('day', CAST(a.date AS DATE), DATE '1996-07-01')) AS days FROM letters a")
+@query("letters", sql="SELECT a.id, CAST(abs(date_diff('day', CAST(a.date AS DATE), DATE '1996-07-01')) AS INTEGER) AS days FROM letters a")
 def day_differences(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(spark, d).letters.select("id", S.day_diff(F.col("date"), F.lit("1996-07-01T12:00")).alias("days"))
 
