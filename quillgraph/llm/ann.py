@@ -10,7 +10,8 @@ a third of all rows share is one row of one cell.  Cells are split over as many
 to the parts of the cells that they visit, and each part gives each query its nearest few, so a result grows with the
 queries and not with the cells' sizes.
 
-The codebooks are fitted on a bounded sample (``max_fit`` rows, by a hash of the id); every row is indexed.
+The codebooks are fitted on a bounded sample (``max_fit`` rows and FIT_COMPONENTS components at most, by a hash of the
+id); every row is indexed.
 
 Defined results
 * vectors that are null, empty, zero, of another length than most, or hold null, NaN or infinite components take no part
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import written
 
+#: Components that the codebooks are fitted on at most; long vectors are sampled more thinly.
+FIT_COMPONENTS = 4_000_000
 #: Bytes of float32 components that a part of the index holds at most.
 PART_BYTES = 4 << 20
 
@@ -116,6 +119,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
     queries = written(kept.where("q").select("id", "v").distinct(), "ann-queries")
     n = entries.count()
     per_half = centroids or int(min(128, max(16, round(n**0.5 / 2.5))))
+    max_fit = min(max_fit, max(256, FIT_COMPONENTS // dim))
     sample = entries.where(F.pmod(F.xxhash64("e"), F.lit(1 << 20)) < int(min(1.0, max_fit / max(1, n)) * (1 << 20)) + 1).orderBy("e").limit(max_fit).select("v").toPandas()
     points = np.array(sample["v"].tolist(), np.float64).reshape(len(sample), dim) if len(sample) else np.zeros((1, dim))
     points = np.pad(points, ((0, 0), (0, wide - dim)))
