@@ -4,8 +4,8 @@ A word that was seen in training scores by its log frequency in every language.
 character n-grams, from the longest length that knows any of them down to single characters.  The scores of a text's
 words add up; the posterior of the best language is the score.
 
-Training reads a bounded sample of labelled rows (``max_train_docs``) and keeps bounded vocabularies (``max_words``,
-``max_grams``), so the model that is broadcast has a fixed greatest size; every text is then predicted whole.
+Training reads a bounded sample of labelled rows (``max_train_docs``) and keeps a bounded vocabulary (``max_words``)
+that all labels share alike; n-grams are counted over all words of the sample.  Every text is then predicted whole.
 
 Defined results
 * text null, empty or without a letter: ``und`` with score 0.0
@@ -24,10 +24,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import columns
+from quillgraph.llm.common import columns, written
 
 #: Runs of letters (and of numerals that are not decimal digits, which carry no letter by themselves).
 WORD = re.compile(r"[^\W\d_]+")
@@ -53,7 +53,7 @@ def grams(word: str, n: int) -> list[str]:
 class Table:
     """Log frequencies of known pieces of text in every language: a row number by piece, and a matrix of rows."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], smoothing: float, most: int):
+    def __init__(self, counts: dict[str, dict[str, int]], smoothing: float, most: int | None):
         total: Counter[str] = Counter()
         for c in counts.values():
             total.update(c)
@@ -67,7 +67,7 @@ class Table:
 class Model:
     """Per-language log frequencies of words and character n-grams."""
 
-    def __init__(self, counts: dict[str, dict[str, int]] | None = None, max_grams: int = 50_000, smoothing: float = 0.5, state: dict | None = None):
+    def __init__(self, counts: dict[str, dict[str, int]] | None = None, gram_counts: dict[int, dict[str, dict[str, int]]] | None = None, max_grams: int | None = None, smoothing: float = 0.5, state: dict | None = None):
         if state is not None:  # plain containers, as broadcast
             self.__dict__.update(state)
             return
@@ -78,12 +78,8 @@ class Model:
         self.grams: dict[int, dict[str, int]] = {}
         logs, held = [np.zeros((0, len(counts)), np.float32)], 0
         for n in range(SHORTEST, LONGEST + 1):
-            by_lang: dict[str, Counter[str]] = {lang: Counter() for lang in counts}
-            for lang, c in counts.items():
-                for word, times in c.items():
-                    for g in grams(word, n):
-                        by_lang[lang][g] += times
-            table = Table(by_lang, smoothing, max_grams)
+            by_lang = (gram_counts or {}).get(n, {})
+            table = Table({lang: by_lang.get(lang, {}) for lang in counts}, smoothing, max_grams)
             self.grams[n] = {g: held + i for g, i in table.row.items()}
             logs.append(table.logs)
             held += len(table.row)
@@ -124,12 +120,12 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train_docs: int = 10_000, max_words: int = 50_000, max_grams: int = 50_000) -> Model:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_train_docs: int = 20_000, max_words: int = 200_000, max_grams: int | None = None) -> Model:
     """Learn a model from labelled rows.
 
     ``max_train_docs``: about so many rows at most are learnt from, taken by a hash of the id over the whole table.
-    ``max_words``: so many (label, word) pairs at most are kept, the most frequent ones; rarer words are unseen.
-    ``max_grams``: so many n-grams of each length at most are kept, the most frequent ones.
+    ``max_words``: so many (label, word) pairs at most are kept, each label's most frequent ones in turn; rarer words are unseen.
+    ``max_grams``: so many n-grams of each length at most are kept, the most frequent ones; all if None.
     """
     rows = train.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).alias("l")).where("t is not null and l is not null")
     there = rows.select("l").count()
@@ -151,11 +147,29 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
                 yield out()
         yield out()
 
-    found = rows.select("t", "l").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l", "w").limit(max_words).collect()
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in found:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[tuple[str, int], Counter[str]] = defaultdict(Counter)
+            for lang, word, times in zip(*columns(batch, "l", "w", "n")):
+                for size in range(SHORTEST, LONGEST + 1):
+                    c = by[lang, size]
+                    for g in grams(word, size):
+                        c[g] += times
+            flat = [(lang, size, g, n) for (lang, size), c in by.items() for g, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["l", "size", "g", "n"])
+
+    words = written(rows.select("t", "l").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words")
+    turn = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
+    found = words.withColumn("turn", turn).where(F.col("turn") <= max_words).orderBy("turn", "l").limit(max_words).select("l", "w", "n").toArrow()
+    counted = words.mapInArrow(pieces, "l string, size int, g string, n long").groupBy("l", "size", "g").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in counted.column("l").unique().to_pylist()}
+    for lang, word, n in zip(*(found.column(i).to_pylist() for i in range(3))):
         counts[lang][word] = n
-    return Model(dict(counts), max_grams)
+    gram_counts: dict[int, dict[str, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
+    for batch in counted.to_batches():
+        for lang, size, g, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            gram_counts[size][lang][g] = n
+    return Model(counts, gram_counts, max_grams)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

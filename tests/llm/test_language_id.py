@@ -56,3 +56,12 @@ def test_held_out_accuracy(spark):
 def test_bounded_vocabulary(docs):
     model = L.fit(docs(TRAIN), max_words=5, max_grams=3)
     assert len(model.words) <= 5 and all(len(g) <= 3 for g in model.grams.values())
+
+
+def test_rare_languages_keep_their_words_and_grams(docs):
+    many = [(i, "der hund und die katze sind in dem haus", "de") for i in range(20)] + [(99, "zzyzx qwopq", "xx")]
+    model = L.fit(docs(many), max_words=6)
+    assert model.langs == ["de", "xx"] and {"zzyzx", "qwopq"} <= set(model.words) and len(model.words) == 6
+    assert model.predict("zzyzx", {})[0] == "xx"
+    dropped = set("der hund und die katze sind in dem haus".split()) - set(model.words)
+    assert dropped and all(g in model.grams[3] for w in dropped for g in L.grams(w, 3))  # n-grams are of all words
