@@ -84,7 +84,14 @@ def blocks_of(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> I
         yield batch.slice(start)
 
 
-def whole_partition(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """All rows of one partition, or None if it has none.  Only for partitions whose size is bounded."""
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).combine_chunks() if got else None
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Record batches put together, so that each but the last has at least so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
