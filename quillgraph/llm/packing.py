@@ -1,19 +1,21 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Several sequence lengths are permitted, each with a cost.  Pieces are placed longest first.  A piece goes into the open
-bin in which it leaves the least room; if none has room, a bin is opened whose length costs least for each token that
-it can still be filled with, given all that is left to place.  When everything is placed, each bin is downsized to the
-cheapest permitted length that holds its contents.
+Several sequence lengths are permitted, each with a cost: by default its tokens, the attention over them, which grows with
+the square of the length, and a fixed part.  Pieces are placed longest first.  A piece goes into the open bin in which it
+leaves the least room.  If none has room, a bin is opened, and the lengths compete for it: each is tried on the pieces
+that are still to be placed, and the one whose cost is least for each token that it would hold is opened.  When
+everything is placed, each bin is downsized to the cheapest permitted length that holds its contents.
 
 Documents longer than the longest permitted length are cut into pieces of that length and a rest.  Only (id, length)
-rows are shuffled: they are dealt evenly, by a hash of the whole row, to packs of about ``pack_docs`` documents, and each
+rows are shuffled: equal ones are counted and numbered, and each is dealt by a hash of id, length and number to a pack of
+about ``pack_docs`` documents, so neither the layout of the files nor a task that is run again changes the plan.  Each
 pack is packed by itself.  No document's text moves; the result says which words of it go where.
 
 Defined results
 * null, empty or blank texts have no tokens and are in no bin
 * repeated rows are packed each; null ids are packed and returned as null
-* ties go to the bin that was opened first; equal lengths are placed in order of id, null ids first
-* an empty table gives an empty result
+* ties go to the bin that was opened first and to the shorter length; equal lengths are placed in order of id, null ids first
+* an empty table gives an empty result; only the id and text columns are read
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ PACK_DOCS = 50_000
 
 
 def default_cost(length: int) -> float:
-    """A sequence costs its length, and a fixed part for being one more sequence."""
-    return length + 32.0
+    """A sequence costs its tokens, its attention (at 8,192 tokens as much as the rest) and a fixed part for being one more."""
+    return length + length * length / 8192 + 32.0
 
 
 def count_words(text: str | None) -> int:
@@ -67,26 +69,35 @@ class OpenBins:
         return room, number
 
 
+def would_hold(room: int, negated: list[int], start: int) -> int:
+    """Tokens that a bin's room takes of the sizes from ``start`` on, the largest that fits first; sizes fall and are negated."""
+    held, i, n = 0, start, len(negated)
+    while room > held and i < n:
+        i = bisect.bisect_left(negated, held - room, i, n)
+        if i < n:
+            held -= negated[i]
+            i += 1
+    return held
+
+
 def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = default_cost) -> tuple[list[tuple[int, int]], list[int]]:
     """Pack pieces of 1 to max(lengths) tokens.  Returns (bin, offset) of each piece and the final length of each bin."""
-    permitted = sorted(set(lengths))
-    left, free = sum(sizes), OpenBins()
+    permitted, free = sorted(set(lengths)), OpenBins()
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    negated = [-sizes[i] for i in order]
     placed: list[tuple[int, int]] = [(0, 0)] * len(sizes)
     used: list[int] = []
-    capacity: list[int] = []
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+    for at, i in enumerate(order):
         size = sizes[i]
         if (got := free.take(size)) is None:
-            # tokens that this bin can hold at most of what is left decide what a token in it costs
-            length = min((x for x in permitted if x >= size), key=lambda x: (cost(x) / min(x, left), x))
-            room, number = length, len(used)
+            # what of all that is left a bin of each length would hold decides what a token in it costs
+            room = min((x for x in permitted if x >= size), key=lambda x: (cost(x) / (size + would_hold(x - size, negated, at + 1)), x))
+            number = len(used)
             used.append(0)
-            capacity.append(length)
         else:
             room, number = got
         placed[i] = (number, used[number])
         used[number] += size
-        left -= size
         if room > size:
             free.add(room - size, number)
     final = [min((x for x in permitted if x >= u), key=lambda x: (cost(x), x)) for u in used]
@@ -105,8 +116,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     rows = docs.select(F.col(id_col)).count()
     packs = max(1, -(-rows // pack_docs))
     sized = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(measure, f"id {kind}, n long").where("n > 0")
-    # copies of a row hash alike, but rows with one id and length are interchangeable and few or even-sized
-    dealt = sized.withColumn("pack", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(packs)).cast("int")).repartition(packs, "pack").sortWithinPartitions("pack", "id", "n")
+    # rows with one id and length are interchangeable: counted before the shuffle, then dealt each
+    numbered = sized.groupBy("id", "n").count().select("id", "n", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("number"))
+    dealt = numbered.withColumn("pack", F.pmod(F.xxhash64("id", "n", "number"), F.lit(packs)).cast("int")).drop("number").repartition(packs, "pack").sortWithinPartitions("pack", "id", "n")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -140,3 +152,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     out = dealt.mapInArrow(fill, f"pack int, bin long, capacity long, used long, id {kind}, piece long, first_token long, n_tokens long, at_token long")
     return out.withColumnRenamed("id", id_col)
+
+
+def sequences(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: Callable[[str], list[str]] = str.split, separator: str = " ") -> DataFrame:
+    """(pack, bin, capacity, used, text): the sequences of a plan, their documents' tokens fetched from ``docs``.
+
+    ``docs`` has one row for each id, and ``split`` gives the tokens that the plan has counted.  Only the rows of one
+    sequence meet; pieces of a document without an id can't be fetched and are left out.
+    """
+    pieces = plan.where(F.col(id_col).isNotNull()).select("pack", "bin", "capacity", "used", F.col(id_col).alias("id"), "first_token", "n_tokens", "at_token")
+    source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in ("t", "first_token", "n_tokens")))
+            cut = [separator.join(split(t)[first : first + n]) for t, first, n in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(cut, pa.string())], names=["pack", "bin", "capacity", "used", "at", "cut"])
+
+    met = pieces.join(source, pieces["id"] == source["doc"]).select("pack", "bin", "capacity", "used", F.col("at_token").alias("at"), "t", "first_token", "n_tokens")
+    parts = met.mapInArrow(run, "pack int, bin long, capacity long, used long, at long, cut string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "cut"))), lambda x: x["cut"]), separator)
+    return parts.groupBy("pack", "bin", "capacity", "used").agg(joined.alias("text"))
