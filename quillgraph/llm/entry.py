@@ -65,17 +65,20 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op6_sql() -> str:
     text = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({text(license_scan.normal_text(s))}, {text(k)})" for k, s in license_scan.SENTENCES.items())
+    known = ", ".join(f"({text(s)}, {text(k)})" for s, k in license_scan.known_sentences(license_scan.SENTENCES).items())
     ordered = sorted(license_scan.RULES, key=lambda r: (-len(r[1]), r[0], r[1]))
     rules = ", ".join(f"({i}, {text(name)}, {text('|' + '|'.join(run) + '|')})" for i, (name, run) in enumerate(ordered))
     return rf"""
 WITH known(s, sid) AS (VALUES {known}), rules(n, license, run) AS (VALUES {rules}),
-docs AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?;:]+[	-
- ]|[.!?;:]+$|
-') AS p FROM documents),
-pieces AS (SELECT r, unnest(p) AS s, unnest(range(len(p))) AS i FROM docs),
-hits AS (SELECT r, i, sid FROM (SELECT r, i, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces) JOIN known USING (s)),
-seqs AS (SELECT r, list(sid ORDER BY i) AS sentence_ids, '|' || string_agg(sid, '|' ORDER BY i) || '|' AS line FROM hits GROUP BY r),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+cut AS (SELECT r, regexp_replace(regexp_replace(regexp_replace(text, '\n[^A-Za-z0-9\n]+', chr(10), 'g'), '\n\n+', chr(1), 'g'), '[.!?;:]+([\x09-\x0D ]|\z)', chr(1) || '\1', 'g') AS t FROM docs),
+split AS (SELECT r, string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(1)) AS p FROM cut),
+pieces AS (SELECT r, unnest(p) AS raw, unnest(range(len(p))) AS i FROM split),
+wholes AS (SELECT r, i, raw, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces),
+lines AS (SELECT r, i, unnest(string_split(raw, chr(10))) AS raw, unnest(range(len(string_split(raw, chr(10))))) AS j FROM wholes WHERE s NOT IN (SELECT s FROM known)),
+hits AS (SELECT r, i, 0 AS j, sid FROM wholes JOIN known USING (s)
+  UNION ALL SELECT r, i, j, sid FROM (SELECT r, i, j, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS s FROM lines) JOIN known USING (s)),
+seqs AS (SELECT r, list(sid ORDER BY i, j) AS sentence_ids, '|' || string_agg(sid, '|' ORDER BY i, j) || '|' AS line FROM hits GROUP BY r),
 named AS (SELECT r, list(license ORDER BY n) AS licenses FROM (SELECT r, license, min(n) AS n FROM seqs JOIN rules ON contains(line, run) GROUP BY r, license) GROUP BY r)
 SELECT doc_id, coalesce(sentence_ids, []) AS sentence_ids, coalesce(licenses, []) AS licenses FROM docs LEFT JOIN seqs USING (r) LEFT JOIN named USING (r)
 """

@@ -33,6 +33,29 @@ def test_urls_against_plain_rules(spark):
     assert {r.verdict for r in U.judge(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
+def test_ten_thousand_rules_of_one_host(spark):
+    rng = random.Random(12)
+    path = lambda n: "/" + "".join(rng.choice("ab/é😀") for _ in range(n))
+    rules = list({("example.com", path(rng.randint(1, 9))): None for _ in range(12_000)})[:10_000] + [("com", "/a"), ("b.example.com", "")]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h, p in rules]
+    assert len(rules) > 5000
+    urls = [f"http://{rng.choice(['example.com', 'x.example.com', 'a.b.example.com', 'com'])}{path(rng.randint(0, 12))}" for _ in range(600)] + ["http://example.com/" + "a" * 200_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rk", F.lit(1)).withColumn("open", F.lit(2)).withColumn("id", F.lit(3))
+    found = U.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    by: dict = {}
+    for h, p, v in rules:
+        by.setdefault(h, {})[p] = v
+
+    def wanted(url):  # the longest fitting rule, by the prefixes of the path
+        host, path, *_ = plain(url, [])
+        fits = [(len(h + path[:n]), len(h), of[path[:n]], h + path[:n]) for h, of in by.items() if host == h or host.endswith("." + h) for n in range(min(len(path), 12) + 1) if path[:n] in of]
+        best = max(fits, default=None)
+        return host, path, best[3] if best else None, best[2] if best else "allow"
+
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()}
+    assert got == {i: wanted(u) for i, u in enumerate(urls)}
+
+
 def test_url_filter_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -61,6 +84,35 @@ def test_licence_rules(docs):
     assert C.scan(docs([])).count() == 0
 
 
+def test_wrapped_and_commented_licences(docs):
+    import textwrap
+
+    t = C.SENTENCES
+    texts = {
+        "MIT": ["The MIT License (MIT)", "Copyright (c) 2021 A. Person", t["mit-grant"] + ":", t["mit-condition"], t["mit-warranty"] + " " + t["mit-liability"]],
+        "Apache-2.0": ["Copyright 2020 A. Person", f"{t['apache2-header']}; {t['apache2-use']} {t['apache2-copy']}", "    http://www.apache.org/licenses/LICENSE-2.0", t["apache2-as-is"] + " " + t["apache2-see"]],
+        "BSD-3-Clause": ["Copyright (c) 2021, A. Person", t["bsd-grant"] + ":", t["bsd-source"], t["bsd-binary"], t["bsd-name"]],
+        "GPL-3.0-or-later": [f"{t['free-program']}: {t['gpl-terms']}", f"{t['gpl-warranty']}; {t['gpl-implied']} {t['gpl-details']}", t["gpl-copy"]],
+        "GPL-2.0-or-later": [f"{t['free-program']}; {t['gpl2-terms']}; {t['gpl2-later']}", f"{t['gpl-warranty']}; {t['gpl-implied']}"],
+        "Zlib": [t["zlib-as-is"], t["zlib-grant"] + ":"],
+        "ISC": ["ISC License", t["isc-grant"]],
+    }
+    styles = [("", "{}", ""), ("", "# {}", ""), ("/*\n", " * {}", "\n */"), ("", "// {}", ""), ("<!--\n", "{}", "\n-->"), ("", ";; {}", ""), ("", "-- {}", "")]
+    rows, want = [], {}
+    for name, paragraphs in texts.items():
+        for head, line, tail in styles:
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 72)) for p in paragraphs)
+            body = head + "\n".join(line.format(x).rstrip() for x in wrapped.split("\n")) + tail
+            want[len(rows)] = name
+            rows.append((len(rows), f"{body}\n\nint main() {{ return 0; }}\nWords after. And more\n"))
+    got = {r.doc_id: r.licenses for r in C.scan(docs(rows)).collect()}
+    assert {i: x[0] if x else None for i, x in got.items()} == want
+
+
+def test_tables():
+    assert len(C.known_sentences(C.SENTENCES)) == len(C.SENTENCES) and {s for _, run in C.RULES for s in run} <= set(C.SENTENCES)
+
+
 def plain_fill(shards, slots):
     order = {s: [(H.preference(s, slots)[0] + i * H.preference(s, slots)[1]) % slots for i in range(slots)] for s in shards}
     owner = {}
