@@ -10,6 +10,12 @@ of both meet in one task, which continues the same traversal down to single fing
 forest of the links that it finds, never all pairs of a group.  Components come from alternating large-star and
 small-star rounds over those links, each round written to the shared folder.
 
+Similar documents (``similar_documents``).  Two texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 differ
+in about 15 % of a fingerprint's bits, a budget that prunes nothing in a trie of 64 bits.  There a fingerprint has 512
+bits, cut into pieces of some bits more than the number of fingerprints needs; each piece has its own trie, whose
+self-join with a budget of two bits proposes pairs, and a pair whose whole fingerprints differ in no more bits than the
+similarity lets expect is a link.  Two texts at the bound meet in one of the pieces with a probability of 0.99.
+
 Defined results
 * null, empty or blank text: fingerprint zero, linked like any other
 * fewer words than a shingle: the whole sequence is the one shingle
@@ -19,15 +25,17 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import ascii_lower_words, columns, files_for, written
+from quillgraph.llm.common import ascii_lower_words, blocks_of, columns, files_for, written
+from quillgraph.llm.substring_dedup import mixed, word_hashes
 
 SEED = 42
 TOP_BITS = 16
@@ -35,6 +43,12 @@ TOP_BITS = 16
 FRONTIER = 16_384
 #: Nodes with so few fingerprints are compared directly.
 SMALL = 4
+#: 64-bit words of a wide fingerprint, and bits in which pieces of two of them may differ for the pair to be looked at.
+WIDE, PIECE_BUDGET = 8, 2
+#: Pieces that one trie holds; of more fingerprints each trie has a part.
+TRIE_SIZE = 1 << 18
+#: Bytes of text and shingles that are hashed at a time.
+HASH_BYTES, HASH_ROWS = 1 << 20, 1 << 17
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -140,14 +154,17 @@ def alike(low: np.ndarray, high: np.ndarray, label: np.ndarray) -> np.ndarray:
     return changes[low] == changes[high - 1]
 
 
-def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) with own[i] and other[j] at most ``budget`` bits apart.  Both are sorted and distinct.
+def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None, counted: int = 64, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) with own[i] and other[j] at most ``budget`` bits apart in the ``counted`` upper bits.
+
+    Both are sorted and distinct.  ``once``: they are the same, and a pair comes once only (i <= j).
 
     Two tries are traversed together.  A trie node is a range of a sorted array; a pair of nodes carries the number of
     bits in which their paths differ.  ``labels`` gives the components so far of both arrays: a pair of nodes that are
     wholly in one component has nothing more to link and isn't entered, so a dense group isn't gone through pair by pair.
     """
     one = np.uint64(1)
+    lower = np.uint64((1 << 64 - counted) - 1)
     todo = [(0, np.array([[0, len(own), 0, len(other), 0]], np.int64))] if len(own) and len(other) else []
     while todo:
         level, pairs = todo.pop()
@@ -165,7 +182,7 @@ def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable
                     x, y = now[:, 0] + dx, now[:, 2] + dy
                     inside = (x < now[:, 1]) & (y < now[:, 3])
                     x, y = x[inside], y[inside]
-                    close = np.bitwise_count(own[x] ^ other[y]) <= budget
+                    close = np.bitwise_count((own[x] ^ other[y]) & ~lower) <= budget
                     if close.any():
                         yield x[close], y[close]
             pairs = pairs[~small]
@@ -181,8 +198,8 @@ def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable
         below = []
         for bx in (0, 1):
             for by in (0, 1):
-                new = np.stack([*xs[bx], *ys[by], pairs[:, 4] + (bx != by)], axis=1)
-                below.append(new[(new[:, 0] < new[:, 1]) & (new[:, 2] < new[:, 3]) & (new[:, 4] <= budget)])
+                new = np.stack([*xs[bx], *ys[by], pairs[:, 4] + (bx != by and level < counted)], axis=1)
+                below.append(new[(new[:, 0] < new[:, 1]) & (new[:, 2] < new[:, 3]) & (new[:, 4] <= budget) & (new[:, 0] <= new[:, 2] if once else True)])
         below = np.concatenate(below)
         todo += [(level + 1, below[i : i + FRONTIER]) for i in range(0, len(below), FRONTIER)]
 
@@ -301,13 +318,140 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those whose id is the class's smallest, one row each.
+def sketches(texts: pa.Array, size: int) -> np.ndarray:
+    """A row of WIDE words for each text: the bitwise majority of its distinct shingles' hashes.  Without words: zero."""
+    h, text = word_hashes(texts)
+    out = np.zeros((len(texts), WIDE), np.uint64)
+    if not len(h):
+        return out
+    begins, words = np.searchsorted(text, np.arange(len(texts) + 1)), np.bincount(text, minlength=len(texts))
+    last = begins[text + 1] - size
+    at = np.arange(len(h))
+    start = (at <= last) | ((words[text] < size) & (at == begins[text]))  # a short text is one shingle
+    at, text = at[start], text[start]
+    g = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        inside = at + j < begins[text + 1]
+        g = mixed(g + np.where(inside, h[np.minimum(at + j, len(h) - 1)], 0) + np.uint64(j + 1))
+    order = np.lexsort((g, text))
+    g, text = g[order], text[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])))
+    g, text = g[new], text[new]
+    n = np.bincount(text, minlength=len(texts))
+    for k in range(WIDE):
+        ones = np.zeros((len(texts), 64), np.int64)
+        for i in range(0, len(g), HASH_ROWS):
+            bits = np.unpackbits(mixed(g[i : i + HASH_ROWS] + np.uint64((k + 1) << 56)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            own = text[i : i + HASH_ROWS]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(ones * 2 > n[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
+    return out
+
+
+def expected_bits(similarity: float) -> int:
+    """Bits in which the wide fingerprints of two texts of this Jaccard similarity differ on average."""
+    return int(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def piece(wide: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """``bits`` bits (63 at most) of each row of WIDE words, from bit ``first`` on."""
+    k, shift = divmod(first, 64)
+    low = wide[:, min(k + 1, WIDE - 1)] >> np.uint64(64 - shift) if shift else np.uint64(0)
+    return (wide[:, k] << np.uint64(shift) | low) >> np.uint64(64 - bits)
+
+
+def similar_links(reps: DataFrame, n: int, most: int) -> DataFrame:
+    """Links (a, b) between ids whose wide fingerprints differ in ``most`` bits at most, of ``reps`` (least, wide), ``n`` rows.
+
+    A piece has eight bits more than it takes to number the rows, so that few pieces of unlike texts are near.  Beyond
+    TRIE_SIZE rows a piece has a trie for each value of some bits of each third of it: if two pieces differ in two bits,
+    they agree in a third.  What an executor holds is one trie's rows.
+    """
+    bits = min(63, max(24, max(1, n).bit_length() + 8))
+    third = bits // 3
+    split = min(third, max(0, (n - 1) // TRIE_SIZE).bit_length())
+    turns = [0] if not split else [0, third, 2 * third]
+    full = np.uint64((1 << bits) - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
+            for t in range(64 * WIDE // bits):
+                value = piece(wide, t * bits, bits)
+                for i, turn in enumerate(turns):
+                    v = (value << np.uint64(turn) | value >> np.uint64(bits - turn)) & full if turn else value
+                    trie = np.int64(t * 3 + i) << np.int64(split) | (v >> np.uint64(bits - split)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(v.view(np.int64)), *batch.columns], names=["trie", "value", "least", "wide"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by (trie, value, least): those of one trie meet here."""
+        held: list[pa.RecordBatch] = []
+
+        def solve(got: pa.Table) -> pa.RecordBatch:
+            value, ids = got.column("value").to_numpy().view(np.uint64), got.column("least").to_numpy()
+            wide = np.frombuffer(b"".join(got.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+            # equal pieces are told apart by their position, in bits that don't count; a very full trie counts fewer bits
+            counted = min(bits, 64 - len(value).bit_length())
+            own = value >> np.uint64(bits - counted) << np.uint64(64 - counted) | np.arange(len(value), dtype=np.uint64)
+            forest = Forest(len(own))
+            for i, j in near_pairs(own, own, PIECE_BUDGET, lambda: (forest.up, forest.up), counted, once=True):
+                other = i != j
+                i, j = i[other], j[other]
+                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
+                forest.union(i[near], j[near])
+            child = np.flatnonzero(forest.up != np.arange(len(own)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[forest.up[child]])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            trie = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(trie)) + 1).tolist(), len(trie)]
+            for s, e in zip(cuts, cuts[1:]):
+                if held and held[-1].column(0)[0].as_py() != trie[s]:
+                    yield solve(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield solve(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = reps.select("least", "wide").mapInArrow(deal, "trie long, value long, least long, wide binary")
+    return dealt.repartition("trie").sortWithinPartitions("trie", "value", "least").mapInArrow(join, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) for every row with an id: the smallest id reachable over pairs of documents of this similarity.
+
+    The similarity of the sets of ``size``-word shingles is told from fingerprints of 512 bits, give or take 0.03.
+    Texts without a word are alike; one of fewer words than a shingle is like its equals only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks_of(batches, "t", HASH_BYTES):
+            wide = sketches(batch.column(1), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in wide], pa.binary())], names=["id", "wide"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    prints = written(source.mapInArrow(run, "id long, wide binary"), "sketches")
+    # a fingerprint that very many rows have is one row of the join, by its smallest id
+    reps = written(prints.groupBy("wide").agg(F.min("id").alias("least")), "reps", files_for(prints.count()))
+    n = reps.count()
+    found = components(similar_links(reps, n, expected_bits(similarity)), files_for(n))
+    classes = reps.join(found, reps.least == found.node, "left").select("wide", F.coalesce("root", "least").alias("component_id"))
+    return prints.join(classes, "wide").select("id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stand for their class of similar documents: those with the class's smallest id.
 
-    Rows without an id have no class to stand for and are kept as they are.
+    One row of an id stays, that with the first text in order.  Rows without an id have no class and are kept as they are.
     """
-    classes = near_duplicates(docs, id_col, text_col, size, budget)
-    stays = classes.where("id = component_id").select(F.col("id").alias("__stays")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(stays, named[id_col] == F.col("__stays"), "left_semi").dropDuplicates([id_col])
-    return kept.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    found = similar_documents(docs, id_col, text_col, size, similarity)
+    stays = found.groupBy("id").agg(F.min("component_id").alias("c")).where("id = c").select(F.col("id").alias("stays"))
+    number = {c: str(i) for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*number.values())  # columns go by number, so theirs can't clash with ours
+    key, text = number[id_col], number[text_col]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first()))
+    kept = rows.join(stays, rows[key].cast("long") == stays["stays"], "left_semi").withColumn("n", first).where("n = 1").drop("n")
+    return kept.unionByName(rows.where(rows[key].isNull())).toDF(*docs.columns)

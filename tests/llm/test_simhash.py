@@ -1,4 +1,7 @@
+import random
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +116,87 @@ def test_edge_cases(docs):
     assert S.near_duplicates(docs([])).count() == 0
     kept = S.keep_one(docs(rows).withColumn("least", F.lit(1)))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6] and "least" in kept.columns
+
+
+def shingle_set(text, size=5):
+    words = S.ascii_lower_words(text)
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def near_copies(rng, n):
+    """Texts of which many are changed copies of others, of all similarities."""
+    texts = []
+    for _ in range(n):
+        if texts and rng.random() < 0.6:
+            words = rng.choice(texts).split()
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9])):
+                words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        else:
+            texts.append(" ".join(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(40, 300))))
+    return texts
+
+
+def test_sketch_tells_similarity():
+    rng = random.Random(5)
+    texts = near_copies(rng, 150)
+    wide = S.sketches(pa.array(texts), 5)
+    sets = [shingle_set(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            alike, differ = len(sets[i] & sets[j]) / len(sets[i] | sets[j]), int(np.bitwise_count(wide[i] ^ wide[j]).sum())
+            if alike >= 0.5:  # within five standard deviations of a binomial variable
+                p = np.arccos(2 * alike / (1 + alike)) / np.pi
+                assert abs(differ - 512 * p) <= 5 * np.sqrt(512 * p * (1 - p)) + 12
+    assert (S.sketches(pa.array([None, "", " ", "a b", "A  B", "a b c"]), 5)[:3] == 0).all()
+    short = S.sketches(pa.array(["a b", "A  B", "b a"]), 5)
+    assert (short[0] == short[1]).all() and np.bitwise_count(short[0] ^ short[2]).sum() > 150
+    assert (S.sketches(pa.array(["w " * 10 + "a b c d e f"]), 5) == S.sketches(pa.array(["w " * 500 + "a b c d e f"]), 5)).all()  # shingles are a set
+
+
+def test_pieces_are_the_sketch_bit_by_bit():
+    rng = np.random.default_rng(2)
+    wide = rng.integers(0, 1 << 63, (20, S.WIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for bits in (24, 37, 63):
+        whole = ["".join(f"{int(w):064b}" for w in row) for row in wide]
+        for t in range(512 // bits):
+            assert [f"{int(v):0{bits}b}" for v in S.piece(wide, t * bits, bits)] == [w[t * bits : (t + 1) * bits] for w in whole]
+
+
+def similar_classes(texts, bound):
+    sets = [shingle_set(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= bound * max(1, len(sets[i] | sets[j])):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_similar_documents_against_all_pairs(docs, monkeypatch):
+    """Whoever is joined at a similarity of 0.86 or more is, and nobody is who isn't joined at 0.74."""
+    texts = near_copies(random.Random(17), 400)
+    sure, possible = similar_classes(texts, 0.86), similar_classes(texts, 0.74)
+    for size in (1 << 18, 60):  # one trie for a piece, and many
+        monkeypatch.setattr(S, "TRIE_SIZE", size)
+        got = {r.id: r.component_id for r in S.similar_documents(docs(list(enumerate(texts)))).collect()}
+        assert len(got) == len(texts) and sum(got[i] != got[sure[i]] for i in got) <= 0.005 * len(texts)
+        assert all(possible[i] == possible[got[i]] for i in got)
+    assert len(set(sure)) < 0.8 * len(texts)
+
+
+def test_one_of_each_group_stays(docs):
+    rng = random.Random(23)
+    base = [f"x{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(100 + i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(200)] + [(i, " ".join(base)) for i in range(50, 80)] + [(7, " ".join(f"z{rng.randrange(10**6)}" for _ in range(100))), (None, " ".join(base)), (8, None), (9, "")]
+    wide = docs(rows).withColumn("stays", F.lit(1)).withColumn("__stays", F.lit(2)).withColumn("n", F.lit(3)).withColumn("id", F.lit(4)).repartition(5)
+    kept = S.keep_one(wide)
+    assert kept.columns == wide.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n) for r in kept.collect()) == [(False, 7, 3), (False, 8, 3), (False, 50, 3), (True, 0, 3)]
