@@ -7,8 +7,10 @@ suffix positions sampled along the text, reached by stepping backwards.  Overlap
 Words that no pattern has cannot be part of an occurrence, so the text that is indexed consists of the shard's runs of
 pattern words that are at least as long as the shortest pattern.  This loses nothing: an occurrence is inside a run.
 
-Patterns come to the shards in blocks of ``block_bytes`` of benchmark text; each block is one pass over the documents,
-and adds to the spans that the passes before it found.  A benchmark of usual size is one block; nothing is shuffled.
+Patterns come to the shards in blocks of ``block_bytes`` of benchmark text.  A block is made into flat arrays once and
+broadcast; it is one pass over the documents, which adds to the spans that the passes before it found.  What a pass has
+found is written before the next one begins, so a task holds one block.  A benchmark of usual size is one block, of which
+nothing is written between; nothing is shuffled.
 
 Defined results
 * null or empty text, or no words: zero words, nothing hit; null and empty benchmark items have no windows
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import blocks_of
+from quillgraph.llm.common import blocks_of, written
 
 WINDOW = 13
 #: Every so many text positions, the suffix array keeps its entry.
@@ -36,7 +38,7 @@ SAMPLING = 16
 #: Bytes of document text in a shard.
 SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text whose patterns are searched in one pass.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _word_bytes() -> bytes:
@@ -58,27 +60,35 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Patterns:
-    """Distinct windows of benchmark items, as sequences of word numbers from 1, and the items that have each."""
+    """Distinct windows of benchmark items, and the items that have each, in flat arrays.
+
+    ``ids`` are the items' words, numbered from 1, one item after the other; a window is ``lengths`` words from ``starts``.
+    Window ``w`` occurs in the items ``owners[bounds[w] : bounds[w + 1]]``, numbers into ``names``.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if ids:
-                for i in range(max(1, len(ids) - window + 1)):
-                    owners[tuple(ids[i : i + window])].add("null" if item is None else str(item))
-        self.windows = list(owners)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.matrix = np.zeros((len(self.windows), window), np.int64)
-        for i, w in enumerate(self.windows):
-            self.matrix[i, : len(w)] = w
+        self.names = ["null" if item is None else str(item) for item, _ in items]
+        parts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        words = np.array([len(p) for p in parts], np.int64)
+        number = np.where(words > 0, np.maximum(1, words - window + 1), 0)  # windows of each item
+        self.ids = np.concatenate([*parts, np.zeros(window, np.int32)])
+        owner = np.repeat(np.arange(len(parts)), number)
+        starts = np.repeat(np.cumsum(words) - words - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        lengths = np.minimum(words, window)[owner]
+        whole = np.where(np.arange(window) < lengths[:, None], self.ids[starts[:, None] + np.arange(window)], 0)
+        _, first, same = np.unique(whole, axis=0, return_index=True, return_inverse=True)
+        self.starts, self.lengths = starts[first], lengths[first]
+        both = np.unique(np.stack([same.ravel(), owner], axis=1), axis=0)
+        self.owners, self.bounds = both[:, 1], np.searchsorted(both[:, 0], np.arange(len(first) + 1))
 
     @property
     def shortest(self) -> int:
         return int(self.lengths.min()) if len(self.lengths) else 0
 
+    def items_of(self, windows: set[int]) -> list[str]:
+        return [self.names[i] for w in windows for i in self.owners[self.bounds[w] : self.bounds[w + 1]].tolist()]
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of the suffixes of a sequence whose zeros end it piece by piece: a zero is smaller than any word, and zeros
@@ -142,14 +152,14 @@ class FMIndex:
         symbol = self.bwt[row]
         return self.below[symbol] + self.ranks.rank(symbol, row)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that begin with each pattern, all patterns going backwards together."""
+    def search(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that begin with each pattern (``lengths`` of ``words`` from ``starts``), all going backwards together."""
         low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.bwt), np.int64)
-        for back in range(patterns.shape[1]):
+        for back in range(int(lengths.max(initial=0))):
             todo = np.flatnonzero((lengths > back) & (low < high))
             if not len(todo):
                 break
-            symbol = patterns[todo, lengths[todo] - 1 - back]
+            symbol = words[starts[todo] + lengths[todo] - 1 - back]
             low[todo] = self.below[symbol] + self.ranks.rank(symbol, low[todo])
             high[todo] = self.below[symbol] + self.ranks.rank(symbol, high[todo])
         return low, np.maximum(low, high)
@@ -176,7 +186,7 @@ def search_shard(texts: list[str | None], patterns: Patterns) -> tuple[list[int]
         words = words_of(text)
         counts.append(len(words))
         parts.append(np.fromiter((get(w, 0) for w in words), np.int32, len(words)))
-    if not patterns.windows or not sum(counts):
+    if not len(patterns.starts) or not sum(counts):
         return counts, {}
     ids = np.concatenate([np.append(p, np.int32(0)) for p in parts])
     word_of = np.concatenate([np.arange(len(p) + 1) for p in parts])
@@ -189,7 +199,7 @@ def search_shard(texts: list[str | None], patterns: Patterns) -> tuple[list[int]
     sizes = runs[:, 1] - runs[:, 0] + 1  # with the zero that follows
     at = np.repeat(runs[:, 0] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     index = FMIndex(ids[at].astype(np.int64), len(patterns.vocabulary))
-    low, high = index.search(patterns.matrix, patterns.lengths)
+    low, high = index.search(patterns.ids, patterns.starts, patterns.lengths)
     times = high - low
     which = np.repeat(np.arange(len(times)), times)
     if not len(which):
@@ -244,11 +254,15 @@ def _searched(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: st
         names.append(name)
     width, text_at = len(docs.columns), docs.columns.index(text_col)
     out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.expr(f"cast(array() as {SPAN_TYPE})"), names[2]: F.expr("cast(array() as array<string>)")})
+    kind, before = out.schema, None
     for block in pattern_blocks(benchmark, item_col, item_text_col, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        if before is not None:  # one pass after the other: together they would hold all blocks
+            out = written(out, "decontaminated")
+            before.unpersist()
+        held = before = docs.sparkSession.sparkContext.broadcast(Patterns(block, window))  # of block_bytes at most
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            patterns = Patterns(held.value, window)
+            patterns = held.value
             for batch in blocks_of(batches, text_col, SHARD_BYTES):
                 counts, found = search_shard(batch.column(text_at).to_pylist(), patterns)
                 spans, items = [None] * batch.num_rows, [None] * batch.num_rows
@@ -256,11 +270,11 @@ def _searched(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: st
                     new = found.get(i, ())
                     both = merged([(x["first"], x["end"]) for x in old] + [(s, e) for s, e, _ in new])
                     spans[i] = [{"first": s, "end": e} for s, e in both]
-                    items[i] = sorted({*had, *(o for w in {w for _, _, w in new} for o in patterns.owners[w])})
+                    items[i] = sorted({*had, *patterns.items_of({w for _, _, w in new})})
                 more = [pa.array(counts, pa.int64()), pa.array(spans, ARROW_SPANS), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], names=kind.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(run, kind)
     return out, names
 
 

@@ -14,10 +14,8 @@ from quillgraph.llm import decontaminate as D
 def test_index_finds_all_places(pieces, patterns):
     text = np.array([x for p in pieces for x in [*p, 0]], np.int64)
     index = D.FMIndex(text, 4)
-    matrix = np.zeros((len(patterns), 4), np.int64)
-    for i, p in enumerate(patterns):
-        matrix[i, : len(p)] = p
-    low, high = index.search(matrix, np.array([len(p) for p in patterns]))
+    lengths = np.array([len(p) for p in patterns])
+    low, high = index.search(np.array([x for p in patterns for x in p]), np.cumsum(lengths) - lengths, lengths)
     for p, lo, hi in zip(patterns, low.tolist(), high.tolist()):
         want = [i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)].tolist() == p]
         assert sorted(index.locate(np.arange(lo, hi)).tolist()) == want
@@ -66,3 +64,21 @@ def test_rules(docs, spark):
     found = D.matches(docs(rows[:1]), bench).select(D.items_digest("items")).first()[0]
     assert found == hashlib.sha256(b"1").hexdigest()
     assert D.matches(docs(rows[2:3]), bench).select(D.items_digest("items")).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_blocks_of_patterns_go_one_after_the_other(docs, spark, capsys):
+    bench = spark.createDataFrame([(i, f"q{i} " * 14) for i in range(6)], "item_id long, text string")
+    rows = docs([(i, f"x q{i} " + f"q{i} " * 13 + "y") for i in range(6)])
+    found = D.matches(rows, bench, block_bytes=150)
+    found.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1  # earlier passes are written tables
+    assert [(r.doc_id, r["items"]) for r in found.orderBy("doc_id").collect()] == [(i, [str(i)]) for i in range(6)]
+
+
+def test_patterns_stay_small():
+    import pickle
+
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(20_000)}" for _ in range(200_000))
+    held = len(pickle.dumps(D.Patterns([(i, text[i * 10_000 : (i + 1) * 10_000]) for i in range(100)])))
+    assert held < 8 * len(text[:1_000_000])
