@@ -3,11 +3,13 @@
 Writing.  Spark's own text writer renders each record as one value and ends it with the two line breaks that end a WARC
 record, so it leaves monolithic ``.warc.gz`` streams on whatever file system the shared folder is on.  Of records with
 equal payloads, the one with the smallest id is a ``response``; the others are ``revisit`` records that carry the HTTP
-header, the payload's digest and the id that they refer to, but no payload.
+header, the payload's digest and the id that they refer to, but no payload.  Records go into streams by their size, so
+many to a stream that none holds more than some 64 MB, but for one larger record.
 
-Normalising.  Each stream is inflated once, in pieces; every record is written again as a gzip member of its own, and a
-sidecar index gets a line per record: offset, length, record id, type.  Both files first have a temporary name, so a
-task that is run again after a lost executor replaces whole files.
+Normalising.  Each stream is inflated once, in pieces; every record is written again as a gzip member of its own as it
+comes, and a sidecar index gets a line per record: offset, length, record id, type.  Both files first have a temporary
+name, so a task that is run again after a lost executor replaces whole files.  A task holds one compressed stream and one
+record.
 
 Reading.  A record is read by its index line alone: seek, inflate one member, parse.
 
@@ -16,7 +18,9 @@ Defined results
 * a url is percent-escaped where it would break a header line; null is an empty target
 * rows that repeat an id are records each; the first of an id and payload is no revisit of itself: equal ids with equal
   payloads are all responses
-* null ids are written with an empty id and read back as null
+* null ids are written with an empty id and read back as null; nothing refers to them, and a payload that others have too
+  is a response in them
+* very long html is one record in a stream of its own
 * an empty table gives an empty result; only the id, url and html columns are read
 """
 
@@ -25,22 +29,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import qualified, scratch_path
+from quillgraph.llm.common import qualified, scratch_path, written
 
 CRLF = "\r\n"
 #: Bytes inflated at a time.
 PIECE = 1 << 20
-#: Records in a stream at most.
-RECORDS = 4096
+#: Payload bytes up to which a record goes into streams of so many records; larger ones are alone.
+STREAMS = {16 << 10: 4096, 1 << 20: 64}
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -50,15 +55,22 @@ def base32_of(digits: Column) -> Column:
     return F.concat(*[F.substring(F.lit(BASE32), (F.shiftright(g, 35 - 5 * j).bitwiseAND(31) + 1).cast("int"), F.lit(1)) for g in groups for j in range(8)])
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+def digested(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, url, payload, size, sha)"""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha"))
+
+
+def repeated(rows: DataFrame, least: int = 0) -> DataFrame:
+    """(sha, size, first): payloads of at least ``least`` bytes that occur again, and the smallest id of each."""
+    return rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def records(rows: DataFrame, again: DataFrame) -> DataFrame:
     """(id, url, payload, size, digest, of): ``of`` is the id that a revisit refers to.
 
-    Payloads of at least ``least`` bytes are compared.  Digests are counted before payloads meet them, and only those
-    that occur again are joined.
+    ``again`` is a written table without payloads: where it is small Spark broadcasts it, and no payload is shuffled.
     """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha"))
-    again = rows.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(again, ["sha", "size"], "left")
     return joined.select("id", "url", "payload", "size", base32_of(F.col("sha")).alias("digest"), F.when(F.col("id") != F.col("first"), F.col("first")).alias("of"))
 
@@ -80,9 +92,24 @@ def rendered(found: DataFrame) -> DataFrame:
     return found.select(F.concat(head, block).alias("value"))
 
 
-def write_streams(pages: DataFrame, path: str, **names: str) -> None:
-    """Write the pages' records below ``path`` as gzip streams, each one member over the whole file."""
-    rendered(records(pages, **names)).write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS).text(path)
+def write_streams(pages: DataFrame, path: str, least: int = 0, **names: str) -> list[str]:
+    """Write the pages' records as gzip streams, each one member over the whole file, into the folders below ``path`` that are returned."""
+    rows = digested(pages, **names)
+    again = written(repeated(rows, least), "warc-digests")
+    classes = [*STREAMS.items(), (None, 1)]
+    counts = rows.select("size").agg(*[F.count_if(_between(i, classes)).alias(str(i)) for i in range(len(classes))]).first()
+    folders = []
+    for i, (_, most) in enumerate(classes):
+        if counts[i] or i == 0:
+            folders.append(f"{path}/{i}")
+            kept = rendered(records(rows.where(_between(i, classes)), again))
+            kept.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).text(folders[-1])
+    return folders
+
+
+def _between(i: int, classes: list[tuple[int | None, int]]) -> Column:
+    low, high = classes[i - 1][0] if i else -1, classes[i][0]
+    return F.col("size") > low if high is None else (F.col("size") > low) & (F.col("size") <= high)
 
 
 class Reader:
@@ -120,7 +147,7 @@ def header_fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def inflated(data: bytes) -> Iterator[bytes]:
+def inflated(data: bytes | memoryview) -> Iterator[bytes]:
     """Pieces of a gzip file of one or several members, inflated once."""
     view = memoryview(data)
     while len(view):
@@ -143,7 +170,8 @@ def member(record: bytes) -> bytes:
 
 
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a path or URI, and the path on it."""
+    """The file system of a path or URI, and the path on it; Spark's names for S3 become the one that Arrow knows."""
+    path = re.sub(r"\As3[an]://", "s3://", path)
     if "://" not in path and not path.startswith("file:"):
         return pa.fs.LocalFileSystem(), path
     if path.startswith("file:"):
@@ -151,7 +179,7 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path)
 
 
-def put(path: str, data: list[bytes]) -> None:
+def put(path: str, data: Iterable[bytes]) -> None:
     """Write a file under a temporary name of its own, then give it its name, in place of one from an earlier attempt."""
     fs, at = file_system(path)
     part = f"{at}.{uuid.uuid4().hex}.part"
@@ -175,13 +203,18 @@ def normalise(streams: DataFrame, target: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 name = f"{target}/{hashlib.sha1(path.encode()).hexdigest()}"
-                members, lines, at = [], [], 0
-                for fields, record in Reader(inflated(content.as_buffer().to_pybytes())):
-                    members.append(member(record))
-                    lines.append(json.dumps({"offset": at, "length": len(members[-1]), "id": fields["warc-record-id"], "type": fields["warc-type"]}))
-                    at += len(members[-1])
-                put(f"{name}.warc.gz", members)
-                put(f"{name}.index.jsonl", ["".join(x + "\n" for x in lines).encode()])
+                lines: list[str] = []
+
+                def members(stream=memoryview(content.as_buffer()), lines=lines) -> Iterator[bytes]:
+                    at = 0
+                    for fields, record in Reader(inflated(stream)):
+                        data = member(record)
+                        lines.append(json.dumps({"offset": at, "length": len(data), "id": fields["warc-record-id"], "type": fields["warc-type"]}) + "\n")
+                        at += len(data)
+                        yield data
+
+                put(f"{name}.warc.gz", members())
+                put(f"{name}.index.jsonl", (x.encode() for x in lines))
                 yield pa.RecordBatch.from_pydict({"archive": [f"{name}.warc.gz"], "index": [f"{name}.index.jsonl"], "records": pa.array([len(lines)], pa.int64())})
 
     fs, at = file_system(target)
@@ -213,8 +246,14 @@ def parse(record: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number_of(fields["warc-record-id"]), len(payload), digest, kind, None
 
 
+#: Records that are read into one batch.
+READ = 4096
+
+
 def read(archives: DataFrame) -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of every record that the indexes of ``archives`` name."""
+    names = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,14 +262,13 @@ def read(archives: DataFrame) -> DataFrame:
                 with fs.open_input_stream(at, compression=None) as f:
                     lines = [json.loads(x) for x in f.read().decode().splitlines()]
                 fs, at = file_system(archive)
-                rows = []
                 with fs.open_input_file(at) as f:
-                    for x in lines:
-                        f.seek(x["offset"])
-                        rows.append(parse(zlib.decompress(f.read(x["length"]), 31)))
-                cols = list(zip(*rows)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    for i in range(0, len(lines), READ):
+                        rows = []
+                        for x in lines[i : i + READ]:
+                            f.seek(x["offset"])
+                            rows.append(parse(zlib.decompress(f.read(x["length"]), 31)))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return archives.select("archive", "index").mapInArrow(run, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
@@ -239,7 +277,7 @@ def archive(pages: DataFrame, folder: str | None = None, **names: str) -> DataFr
     """Write, normalise and index the pages' archives below ``folder`` (by default in the shared one); (archive, index, records)."""
     spark = pages.sparkSession
     folder = qualified(spark, folder) if folder else scratch_path(spark, "warc")
-    write_streams(pages, f"{folder}/streams", **names)
-    streams = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{folder}/streams")
+    folders = write_streams(pages, f"{folder}/streams", **names)
+    streams = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folders)
     normalise(streams, f"{folder}/archives").write.parquet(f"{folder}/catalog")
     return spark.read.schema("archive string, index string, records long").parquet(f"{folder}/catalog")
