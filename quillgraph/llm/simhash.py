@@ -11,10 +11,10 @@ forest of the links that it finds, never all pairs of a group.  Components come
 small-star rounds over those links, each round written to the shared folder.
 
 Similar documents (``similar_documents``).  Two texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 differ
-in about 15 % of a fingerprint's bits, a budget that prunes nothing in a trie of 64 bits.  There a fingerprint has 512
+in about 15 % of a fingerprint's bits, a budget that prunes nothing in a trie of 64 bits.  There a fingerprint has 384
 bits, cut into pieces of some bits more than the number of fingerprints needs; each piece has its own trie, whose
 self-join with a budget of two bits proposes pairs, and a pair whose whole fingerprints differ in no more bits than the
-similarity lets expect is a link.  Two texts at the bound meet in one of the pieces with a probability of 0.99.
+similarity lets expect is a link.  Two texts at the bound meet in one of the pieces with a probability of 0.97.
 
 Defined results
 * null, empty or blank text: fingerprint zero, linked like any other
@@ -44,11 +44,15 @@ FRONTIER = 16_384
 #: Nodes with so few fingerprints are compared directly.
 SMALL = 4
 #: 64-bit words of a wide fingerprint, and bits in which pieces of two of them may differ for the pair to be looked at.
-WIDE, PIECE_BUDGET = 8, 2
+WIDE, PIECE_BUDGET = 6, 2
 #: Pieces that one trie holds; of more fingerprints each trie has a part.
 TRIE_SIZE = 1 << 18
-#: Bytes of text and shingles that are hashed at a time.
-HASH_BYTES, HASH_ROWS = 1 << 20, 1 << 17
+#: Bytes of text that are hashed at a time, and texts whose bits are counted together.
+HASH_BYTES, HASH_TEXTS = 1 << 20, 2048
+#: Pairs of nodes that are expanded at a time in the large tries of pieces.
+WIDE_FRONTIER = 1 << 18
+#: The bits of each byte, the highest first.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -154,7 +158,7 @@ def alike(low: np.ndarray, high: np.ndarray, label: np.ndarray) -> np.ndarray:
     return changes[low] == changes[high - 1]
 
 
-def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None, counted: int = 64, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None, counted: int = 64, once: bool = False, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) with own[i] and other[j] at most ``budget`` bits apart in the ``counted`` upper bits.
 
     Both are sorted and distinct.  ``once``: they are the same, and a pair comes once only (i <= j).
@@ -201,7 +205,7 @@ def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable
                 new = np.stack([*xs[bx], *ys[by], pairs[:, 4] + (bx != by and level < counted)], axis=1)
                 below.append(new[(new[:, 0] < new[:, 1]) & (new[:, 2] < new[:, 3]) & (new[:, 4] <= budget) & (new[:, 0] <= new[:, 2] if once else True)])
         below = np.concatenate(below)
-        todo += [(level + 1, below[i : i + FRONTIER]) for i in range(0, len(below), FRONTIER)]
+        todo += [(level + 1, below[i : i + frontier]) for i in range(0, len(below), frontier)]
 
 
 def links(distinct: DataFrame, budget: int = 2, node_size: int = 8192) -> DataFrame:
@@ -338,14 +342,17 @@ def sketches(texts: pa.Array, size: int) -> np.ndarray:
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])))
     g, text = g[new], text[new]
     n = np.bincount(text, minlength=len(texts))
-    for k in range(WIDE):
-        ones = np.zeros((len(texts), 64), np.int64)
-        for i in range(0, len(g), HASH_ROWS):
-            bits = np.unpackbits(mixed(g[i : i + HASH_ROWS] + np.uint64((k + 1) << 56)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            own = text[i : i + HASH_ROWS]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        out[:, k] = np.packbits(ones * 2 > n[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
+    for low in range(0, len(texts), HASH_TEXTS):
+        high = min(len(texts), low + HASH_TEXTS)
+        at, end = np.searchsorted(text, (low, high))
+        base, own = (text[at:end] - low) << 8, g[at:end]
+        for k in range(WIDE):
+            each = mixed(own + np.uint64((k + 1) << 56)).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones = np.empty((high - low, 64), np.int64)
+            for byte in range(8):  # how often a text has each value of a byte, and so each of its bits
+                times = np.bincount(base + each[:, byte], minlength=(high - low) << 8).reshape(-1, 256)
+                ones[:, 8 * byte : 8 * byte + 8] = times @ BITS
+            out[low:high, k] = np.packbits(ones * 2 > n[low:high, None], axis=1).view(">u8").astype(np.uint64).ravel()
     return out
 
 
@@ -395,7 +402,7 @@ def similar_links(reps: DataFrame, n: int, most: int) -> DataFrame:
             counted = min(bits, 64 - len(value).bit_length())
             own = value >> np.uint64(bits - counted) << np.uint64(64 - counted) | np.arange(len(value), dtype=np.uint64)
             forest = Forest(len(own))
-            for i, j in near_pairs(own, own, PIECE_BUDGET, lambda: (forest.up, forest.up), counted, once=True):
+            for i, j in near_pairs(own, own, PIECE_BUDGET, lambda: (forest.up, forest.up), counted, True, WIDE_FRONTIER):
                 other = i != j
                 i, j = i[other], j[other]
                 near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
@@ -423,7 +430,7 @@ def similar_links(reps: DataFrame, n: int, most: int) -> DataFrame:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) for every row with an id: the smallest id reachable over pairs of documents of this similarity.
 
-    The similarity of the sets of ``size``-word shingles is told from fingerprints of 512 bits, give or take 0.03.
+    The similarity of the sets of ``size``-word shingles is told from fingerprints of 384 bits, give or take 0.03.
     Texts without a word are alike; one of fewer words than a shingle is like its equals only.
     """
 

@@ -147,10 +147,10 @@ def test_sketch_tells_similarity():
             alike, differ = len(sets[i] & sets[j]) / len(sets[i] | sets[j]), int(np.bitwise_count(wide[i] ^ wide[j]).sum())
             if alike >= 0.5:  # within five standard deviations of a binomial variable
                 p = np.arccos(2 * alike / (1 + alike)) / np.pi
-                assert abs(differ - 512 * p) <= 5 * np.sqrt(512 * p * (1 - p)) + 12
+                assert abs(differ - 64 * S.WIDE * p) <= 5 * np.sqrt(64 * S.WIDE * p * (1 - p)) + 12
     assert (S.sketches(pa.array([None, "", " ", "a b", "A  B", "a b c"]), 5)[:3] == 0).all()
     short = S.sketches(pa.array(["a b", "A  B", "b a"]), 5)
-    assert (short[0] == short[1]).all() and np.bitwise_count(short[0] ^ short[2]).sum() > 150
+    assert (short[0] == short[1]).all() and np.bitwise_count(short[0] ^ short[2]).sum() > 120
     assert (S.sketches(pa.array(["w " * 10 + "a b c d e f"]), 5) == S.sketches(pa.array(["w " * 500 + "a b c d e f"]), 5)).all()  # shingles are a set
 
 
@@ -159,7 +159,7 @@ def test_pieces_are_the_sketch_bit_by_bit():
     wide = rng.integers(0, 1 << 63, (20, S.WIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for bits in (24, 37, 63):
         whole = ["".join(f"{int(w):064b}" for w in row) for row in wide]
-        for t in range(512 // bits):
+        for t in range(64 * S.WIDE // bits):
             assert [f"{int(v):0{bits}b}" for v in S.piece(wide, t * bits, bits)] == [w[t * bits : (t + 1) * bits] for w in whole]
 
 
