@@ -201,12 +201,6 @@ def url_quoted(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
 
 
-def ring_position(i: Column, n: Column, radius: Column) -> Column:
-    """P50: place on a circle of n positions."""
-    angle = F.lit(2.0) * F.pi() * i / n
-    return F.struct((radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
-
-
 def split_camel(c: Column) -> Column:
     """A space between a lower-case and an upper-case letter; a hyphen at the end goes."""
     return F.regexp_replace(F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2"), r"-\s*\z", "")
@@ -248,9 +242,9 @@ def cypher_list(c: Column) -> Column:
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """Offsets of the places, none overlapping, where a text has another."""
-    escaped = F.concat(F.lit("\\Q"), needle, F.lit("\\E"))
-    pieces = F.split(text, escaped, -1)
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.length(needle))
-    return F.when(F.size(pieces) > 1, ends).otherwise(F.expr("cast(array() as array<int>)"))
+    """Offsets of the places, none overlapping, where a text has another; one pass over the pieces between them."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(needle)).alias("at"), F.array_append(a["found"], a["at"] + F.length(p)).alias("found"))
+    return F.coalesce(F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda a: a["found"]), none)

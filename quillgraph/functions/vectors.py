@@ -20,9 +20,12 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """P20: divided by its length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    """P20: divided by its length; a zero vector stays.
+
+    The length is put beside each component, so that it is worked out once and not in the function for each of them.
+    """
+    n = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
+    return F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, m: x / m)
 
 
 def cosine(a: Column, b: Column) -> Column:

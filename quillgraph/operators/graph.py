@@ -69,13 +69,18 @@ def shared_mentions(mentions: DataFrame, seeds: DataFrame | None = None, least:
     return own.join(other, "entity").where("letter <> other").groupBy("letter", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def correspondence_context(letters: DataFrame, seeds: DataFrame | None = None, days: int = 90) -> DataFrame:
+def correspondence_context(letters: DataFrame, seeds: DataFrame | None = None, days: int = 90, partial_dates: bool = False) -> DataFrame:
     """(letter, other, days_apart): letters of the same two correspondents within ``days``.
 
+    Dates are of day precision; with ``partial_dates`` (Q2) a month or a year stands for its first day.
+
     The unordered pair is the equality key.  Dates are dealt to windows of ``days`` and a letter meets its own and the
     two neighbouring windows, so a pair with very many letters is spread over its years; the distance is checked on top.
     """
-    day = F.try_to_date(F.substring("date", 1, 10), "yyyy-MM-dd")
+    date = F.substring("date", 1, 10)
+    if partial_dates:
+        date = F.when(date.rlike(r"\A[0-9]{4}\z"), F.concat(date, F.lit("-01-01"))).when(date.rlike(r"\A[0-9]{4}-[0-9]{2}\z"), F.concat(date, F.lit("-01"))).otherwise(date)
+    day = F.try_to_date(date, "yyyy-MM-dd")
     rows = letters.select("id", pair_key(F.col("sender"), F.col("recipient")).alias("pair"), day.alias("day")).where("pair is not null and day is not null").withColumn("w", F.floor(F.unix_date("day") / max(1, days)).cast("int"))
     own = rows if seeds is None else rows.join(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct(), "id", "left_semi")
     left = own.select(F.col("id").alias("letter"), "pair", F.col("day").alias("d"), F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"))
@@ -85,14 +90,22 @@ def correspondence_context(letters: DataFrame, seeds: DataFrame | None = None, d
 
 
 def ego_depths(edges: DataFrame, key: str, depth: int = 2) -> DataFrame:
-    """(key, depth) of everything within ``depth`` steps of a node, edges taken either way."""
-    spark = edges.sparkSession
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source"))
-    reached = frontier = spark.range(1).select(F.lit(key).alias("key"), F.lit(0).alias("depth"))
+    """(key, depth) of everything within ``depth`` steps of a node, edges taken either way.
+
+    A step joins the frontier with the edges once; what a node is reached by is the least depth, so no step has to look
+    at what was reached before.  The plan has the edges once for each step.
+    """
+    both = edges.select(F.explode(F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))).alias("e")).select("e.a", "e.b")
+    reached = edges.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        step = both.join(frontier.select(F.col("key").alias("a")), "a", "left_semi").select(F.col("b").alias("key")).distinct()
-        frontier = step.join(reached.select("key"), "key", "left_anti").withColumn("depth", F.lit(d))
-        reached = reached.unionByName(frontier)
+        if d == 1:
+            step = both.where(F.col("a") == key).select(F.col("b").alias("key"), F.lit(1).alias("depth"))
+            reached = reached.unionByName(step).groupBy("key").agg(F.min("depth").alias("depth"))
+            continue
+        # a node hands itself on, and one more step to its neighbours: one join instead of one for each set
+        hops = both.join(reached.select(F.col("key").alias("a"), "depth"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("key"), (F.col("depth") + 1).alias("depth")), F.struct(F.col("a").alias("key"), "depth"))).alias("h"))
+        alone = edges.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(0).alias("depth"))  # a node without edges
+        reached = hops.select("h.key", "h.depth").unionByName(alone).groupBy("key").agg(F.min("depth").alias("depth"))
     return reached
 
 
@@ -103,9 +116,9 @@ def ego_nodes(edges: DataFrame, nodes: DataFrame, key: str, depth: int = 2) -> D
 
 def ego_edges(edges: DataFrame, key: str, depth: int = 2) -> DataFrame:
     """Each edge once that touches a node nearer than ``depth``."""
-    inner = ego_depths(edges, key, depth - 1).select("key")
-    touching = edges.join(inner.withColumnRenamed("key", "source"), "source", "left_semi").select("source", "target", "type").unionByName(edges.join(inner.withColumnRenamed("key", "target"), "target", "left_semi").select("source", "target", "type"))
-    return touching.dropDuplicates(["source", "target", "type"])
+    inner = ego_depths(edges, key, depth - 1).select(F.col("key").alias("end"))
+    ends = edges.select("source", "target", "type", F.explode(F.array_distinct(F.array("source", "target"))).alias("end"))
+    return ends.join(inner, "end", "left_semi").select("source", "target", "type").distinct()
 
 
 def nearest_ego_nodes(found: DataFrame, limit: int = 80) -> DataFrame:

@@ -36,15 +36,35 @@ def warnings(letters: DataFrame, persons: DataFrame, places: DataFrame, mentions
     undated = blank_to_null(F.col("sent.date")).isNull() & blank_to_null(F.col("received.date")).isNull()
     misplaced = blank_to_null(F.col("sent.place")).isNull() & blank_to_null(F.col("received.place")).isNotNull()
     out = [
-        rule(dangling(roles, persons, "person"), "dangling-person-ref", "%s: %s person '%s' not in persons register", "id", "role", "person"),
-        rule(dangling(roles, places, "place"), "dangling-place-ref", "%s: %s place '%s' not in places register", "id", "role", "place"),
-        rule(dangling(mentions, entities, "entity_id"), "dangling-mention-ref", "%s: mention '%s' not in register", "id", "entity_id"),
-        rule(letters.where(undated), "missing-date", "%s: no date on sent or received action", "id"),
-        rule(letters.where(misplaced), "place-under-received", "%s: place found under the recipient", "id"),
+        rule(dangling(roles, persons, "person"), "dangling-person-ref", "letter %s, %s: the persons' register has no entry %s", "id", "role", "person"),
+        rule(dangling(roles, places, "place"), "dangling-place-ref", "letter %s, %s: the places' register has no entry %s", "id", "role", "place"),
+        rule(dangling(mentions, entities, "entity_id"), "dangling-mention-ref", "letter %s mentions %s, which is in no register", "id", "entity_id"),
+        rule(letters.where(undated), "missing-date", "letter %s has a date neither of sending nor of receiving", "id"),
+        rule(letters.where(misplaced), "place-under-received", "letter %s has its place with the recipient", "id"),
     ]
     return reduce(DataFrame.unionByName, out)
 
 
+def register_warnings(notes: DataFrame) -> DataFrame:
+    """(category, message) of what reading the registers and files has dropped (notes: category, id, value)."""
+    # Categories of warnings; their wording is ours.
+    said = {
+        "invalid-url-ref": "entry %s: %s is no web address", "invalid-url-note": "letter %s: the note %s is no web address",
+        "persons-missing-id": "%sa person or group without an id in %s", "places-missing-id": "%sa place without an id in %s",
+        "places-bad-geo": "place %s: coordinates %s can't be read", "register-missing-key": "%sa register row without a key in %s",
+        "empty-fulltext": "letter %s: %s has no text", "rs-key-mismatch": "letter %s: keys in the text that its list lacks: %s",
+    }
+    text = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, pattern in said.items():
+        text = text.when(F.col("category") == name, F.format_string(pattern, F.coalesce("id", F.lit("")), F.coalesce("value", F.lit(""))))
+    return notes.select("category", text.alias("message")).where("message is not null")
+
+
+def write_log(found: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """K1: warnings as lines ``[category] message``, those of a category together."""
+    found.select("category", F.concat(F.lit("["), "category", F.lit("] "), "message").alias("value")).repartitionByRange("category", "value").sortWithinPartitions("category", "value").select("value").write.mode(mode).text(path)
+
+
 def warning_counts(found: DataFrame) -> DataFrame:
     """Warnings of each category, most first."""
     return found.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
@@ -63,9 +83,10 @@ def status_drift(letters: DataFrame) -> DataFrame:
 
 
 def synced(register: DataFrame, drift: DataFrame) -> DataFrame:
-    """The register with drifted statuses put right; other rows as they are."""
-    fix = drift.select(F.col("id").alias("__id"), "wanted")
-    return register.join(fix, register.id == F.col("__id"), "left").select(*[F.coalesce("wanted", c).alias(c) if c == "publication_status" else F.col(c) for c in register.columns])
+    """The register with drifted statuses put right, other rows as they are; ``changed`` says which it is."""
+    fix = drift.select(F.col("id").alias("fixed_id"), "wanted")
+    there = F.col("wanted").isNotNull()
+    return register.join(fix, register.id == fix.fixed_id, "left").select(*[F.coalesce("wanted", c).alias(c) if c == "publication_status" else F.col(c) for c in register.columns], there.alias("changed"))
 
 
 # Statuses of a letter, of its register row, and of its scan.
@@ -108,17 +129,3 @@ def status_facts(register: DataFrame, files: DataFrame) -> DataFrame:
     r = register.select("id", "publication_status", "scan", F.coalesce("has_url", F.lit(False)).alias("has_url"), F.lit(True).alias("r"))
     f = files.select("id", "statuses", "source", F.lit(True).alias("f"))
     return r.join(f, "id", "full").select("id", F.coalesce("f", F.lit(False)).alias("has_file"), F.coalesce("r", F.lit(False)).alias("has_row"), "statuses", "source", "publication_status", "scan", "has_url")
-
-
-def merge_register(register: DataFrame, files: DataFrame) -> DataFrame:
-    """Register rows with what their file says.
-
-    The file's sender counts if it names a person or a date, its recipient if it names a person.
-    """
-    filled = lambda c: blank_to_null(F.col(c)).isNotNull()
-    f = files.select(F.col("id").alias("fid"), F.col("sent").alias("fsent"), F.col("received").alias("freceived"), *[c for c in files.columns if c not in ("id", "sent", "received")])
-    joined = register.join(f, register.id == f.fid, "left")
-    sent = F.when(filled("fsent.person") | filled("fsent.date"), F.col("fsent")).otherwise(F.col("sent"))
-    received = F.when(filled("freceived.person"), F.col("freceived")).otherwise(F.col("received"))
-    kept = [c for c in register.columns if c not in ("sent", "received")]
-    return joined.select(*kept, sent.alias("sent"), received.alias("received"), F.col("fid").isNotNull().alias("has_fulltext"), *[c for c in f.columns if c not in ("fid", "fsent", "freceived")])

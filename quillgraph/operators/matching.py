@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import defaultdict
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scalars import linker_text
-from quillgraph.functions.similarity import token_set_similarity
+from quillgraph.functions.similarity import token_set_ratio
 
 
 def match_prefix(texts: DataFrame, register: DataFrame, date: str = "date", key: str = "id") -> DataFrame:
@@ -57,44 +62,101 @@ def register_join(rows: DataFrame, persons: DataFrame, places: DataFrame) -> Dat
     return rows.join(p, "person", "left").join(q, "place", "left")
 
 
-def name_contains(mentions: DataFrame, entities: DataFrame, text: str = "text", label: str = "label", key: str = "id") -> DataFrame:
-    """For each distinct text the first entity whose label contains it as a run of whole words.
+def name_contains(mentions: DataFrame, entities: DataFrame, text: str = "text", label: str = "label", key: str = "id", whole_words: bool = False) -> DataFrame:
+    """For each text the first entity whose label contains it; with ``whole_words``, as a run of whole words.
 
-    Every run of words of a label is offered by equality, so nothing is compared with everything.
+    Every part of a label that is as long as some text is offered by equality, so nothing is compared with everything;
+    the lengths of texts are few, and a label has as many parts of one length as letters at most.
     """
-    words = F.split(linker_text(F.col(label)), " ")
-    runs = entities.select(F.col(key).alias("entity"), words.alias("w")).select("entity", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.size("w") - i + 1), lambda n: F.array_join(F.slice("w", i, n), " "))))).alias("norm"))
-    offered = runs.groupBy("norm").agg(F.min("entity").alias("entity"))
-    return mentions.withColumn("norm", linker_text(F.col(text))).join(offered, "norm", "left").drop("norm")
+    normed = mentions.withColumn("norm", linker_text(F.col(text)))
+    if whole_words:
+        words = F.split(linker_text(F.col(label)), " ")
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.size("w") - i + 1), lambda n: F.array_join(F.slice("w", i, n), " "))))
+        parts = entities.select(F.col(key).alias("entity"), words.alias("w")).select("entity", F.explode(runs).alias("norm"))
+    else:
+        lengths = normed.select(F.length("norm").alias("n")).where("n > 0").distinct()
+        labels = entities.select(F.col(key).alias("entity"), linker_text(F.col(label)).alias("l")).withColumn("n", F.explode(F.when(F.length("l") > 0, F.sequence(F.lit(1), F.length("l"))))).join(lengths, "n")
+        parts = labels.select("entity", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("l") - F.col("n") + 1), lambda i: F.substring("l", i, F.col("n"))))).alias("norm"))
+    return normed.join(parts.groupBy("norm").agg(F.min("entity").alias("entity")), "norm", "left").drop("norm")
 
 
-def candidates(mentions: DataFrame, bank: DataFrame) -> DataFrame:
-    """(mention, norm, entity, label): a mention meets the bank's entries that share a word with it.
+#: Texts and register entries that one task compares with each other at a time.
+BLOCK = 2000
+_BINS = 64
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each letter occurs in each text; letters are counted by the rest of their code point."""
+    out = np.zeros((len(texts), _BINS), np.int16)
+    for i, text in enumerate(texts):
+        for c in text:
+            out[i, ord(c) % _BINS] += 1
+    return out
 
-    The token-set ratio reaches the threshold only with common words, but for spellings inside a word; those meet by
-    the first three letters of a word as well.
-    """
-    def keys(df: DataFrame, norm: str, *keep: str) -> DataFrame:
-        words = F.filter(F.split(norm, " "), lambda w: F.length(w) > 0)
-        return df.select(*keep, norm, F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, 3), F.lit("*")))))).alias("k"))
 
-    m = keys(mentions, "norm", "mention", "kind")
-    b = keys(bank.withColumn("bank_norm", linker_text(F.col("label"))), "bank_norm", "entity", "kind", "label")
-    return m.join(b, ["k", "kind"]).select("mention", "norm", "entity", "label", "bank_norm").distinct()
+def best_entries(texts: list[str], labels: list[str], k: int) -> list[list[tuple[int, float]]]:
+    """For each text the ``k`` best labels (position, score), earlier positions first among equals.
+
+    Without a common word the score is at most what the letters in common allow; labels are scored in order of that
+    bound, until it is below the k-th best score.  No label that could be among the best is left out.
+    """
+    plain = lambda t: " ".join(sorted(set(t.split())))
+    mine, theirs = [plain(t) for t in texts], [plain(t) for t in labels]
+    by_word: dict[str, list[int]] = defaultdict(list)
+    for j, label in enumerate(theirs):
+        for word in label.split():
+            by_word[word].append(j)
+    letters, sizes = _letters(theirs), np.array([len(x) for x in theirs])
+    out = []
+    for text, own in zip(mine, _letters(mine)):
+        bound = 200.0 * np.minimum(own, letters).sum(axis=1) / np.maximum(1, len(text) + sizes)
+        for word in text.split():
+            bound[by_word.get(word, [])] = np.inf
+        best: list[tuple[float, int]] = []
+        for j in np.argsort(-bound, kind="stable").tolist():
+            if len(best) == k and bound[j] < -best[-1][0]:
+                break
+            bisect.insort(best, (-token_set_ratio(text, theirs[j]), j))
+            del best[k:]
+        out.append([(j, -score) for score, j in best])
+    return out
+
+
+def candidates(mentions: DataFrame, bank: DataFrame, k: int = 8) -> DataFrame:
+    """(norm, kind, rank, entity, score): the ``k`` best entries of a kind for each text of that kind, ties to the smaller entity.
+
+    Every text is compared with every entry of its kind, in blocks of bounded size; a block gives its best ``k``.
+    """
+    blocks = lambda df: F.lit(max(1, -(-df.count() // BLOCK)))
+    entries = bank.select("entity", "kind", linker_text(F.col("label")).alias("bank_norm")).where("entity is not null")
+    own, theirs = blocks(mentions), blocks(entries)
+    m = mentions.withColumn("x", F.pmod(F.xxhash64("norm"), own)).withColumn("y", F.explode(F.sequence(F.lit(0), theirs - 1)))
+    b = entries.withColumn("y", F.pmod(F.xxhash64("entity"), theirs)).withColumn("x", F.explode(F.sequence(F.lit(0), own - 1)))
+
+    def compare(texts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        entries = entries.sort_values("entity", kind="stable")
+        names = entries["entity"].tolist()
+        found = best_entries(texts["norm"].tolist(), entries["bank_norm"].fillna("").tolist(), k) if len(entries) and len(texts) else []
+        rows = [(norm, kind, names[j], score) for norm, kind, best in zip(texts["norm"], texts["kind"], found) for j, score in best]
+        return pd.DataFrame(rows, columns=["norm", "kind", "entity", "score"])
+
+    key = ["x", "y", "kind"]
+    met = m.groupBy([F.col(c).cast("string" if c == "kind" else "long").alias(c) for c in key]).cogroup(b.groupBy([F.col(c).cast("string" if c == "kind" else "long").alias(c) for c in key]))
+    best = met.applyInPandas(compare, f"norm string, kind string, entity {entries.schema['entity'].dataType.simpleString()}, score double")
+    rank = F.row_number().over(Window.partitionBy("norm", "kind").orderBy(F.desc("score"), "entity"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def fuzzy_link(mentions: DataFrame, bank: DataFrame, k: int = 8, accept: float = 92.0) -> DataFrame:
     """(mention, entity, score, method, candidates): the best register entry, accepted from a score on.
 
     mentions (mention, text, kind), bank (entity, label, kind); the best ``k`` of a mention's kind are its candidates.
-    Distinct texts are compared once.  Without an accepted entry, the method is ``none``.
+    Distinct texts are compared once.  Without an accepted entry, the method is ``none``; a null text counts as empty.
     """
-    norm = mentions.withColumn("norm", linker_text(F.col("text")))
-    texts = norm.select(F.struct("norm", "kind").alias("mention"), "norm", "kind").distinct()
-    scored = candidates(texts, bank).withColumn("score", token_set_similarity("norm", "bank_norm"))
-    rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "entity"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("mention").agg(F.max_by(F.struct("entity", "score"), F.struct("score", -F.col("rank"))).alias("b"), F.array_sort(F.collect_list(F.struct("rank", "entity", "score"))).alias("candidates"))
-    found = norm.join(best.select(F.col("mention.norm").alias("norm"), F.col("mention.kind").alias("kind"), "b", "candidates"), ["norm", "kind"], "left")
+    norm = mentions.withColumn("norm", F.coalesce(linker_text(F.col("text")), F.lit("")))
+    ranked = candidates(norm.select("norm", "kind").where("kind is not null").distinct(), bank, k)
+    best = ranked.groupBy("norm", "kind").agg(F.min_by(F.struct("entity", "score"), "rank").alias("b"), F.array_sort(F.collect_list(F.struct("rank", "entity", "score"))).alias("candidates"))
+    found = norm.join(best, ["norm", "kind"], "left")
     good = F.coalesce(F.col("b.score") >= accept, F.lit(False))
     return found.select("mention", F.when(good, F.col("b.entity")).alias("entity"), F.when(good, F.col("b.score")).otherwise(0.0).alias("score"), F.when(good, "fuzzy").otherwise("none").alias("method"), "candidates")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,16 @@ def partner(hub: str) -> Column:
 
 
 def totals(letters: DataFrame, places: DataFrame, hub: str) -> DataFrame:
-    """A1: one row of counts.  Each letter is read once; a place counts if it has coordinates."""
+    """A1: one row of counts.  Each letter is read once; a place counts if it has coordinates.
+
+    Letters with a full text are counted where letters have ``has_fulltext``.
+    """
     mapped = places.where("lat is not null").select(F.col("id").alias("place"), F.lit(1).alias("mapped"))
     seen = letters.join(mapped, "place", "left")
     return seen.agg(
         F.count("*").alias("letters"),
         F.count_if(year_of(F.col("date")).isNotNull()).alias("dated"),
+        *([F.count_if(F.coalesce("has_fulltext", F.lit(False))).alias("fulltext")] if "has_fulltext" in letters.columns else []),
         F.count_if(F.coalesce(F.col("publication_status").startswith("online"), F.lit(False))).alias("published"),
         F.count_distinct(partner(hub)).alias("correspondents"),
         F.count_distinct(F.when(F.col("mapped") == 1, F.col("place"))).alias("places_mapped"),
@@ -103,3 +109,18 @@ def map_markers(places: DataFrame) -> DataFrame:
 
     top = F.broadcast(places.agg(F.max("letters").alias("top")))
     return places.crossJoin(top).select("id", "letters", marker_radius(F.col("letters")).alias("radius"), F.round(area_radius(F.col("letters"), F.col("top")), 6).alias("area_radius"))
+
+
+def document(parts: dict[str, DataFrame], maps: dict[str, tuple[DataFrame, str, str]] | None = None) -> DataFrame:
+    """(part, position, value): parts of an overview as JSON lines, one table after the other.
+
+    ``parts`` are tables, a line for each row in order of their rank (``position`` if they have it); ``maps`` are tables
+    that are one object from a key column to a value column, a line for each entry.
+    """
+    rows = []
+    for name, df in parts.items():
+        at = F.col("position") if "position" in df.columns else F.lit(0)
+        rows.append(df.select(F.lit(name).alias("part"), at.cast("long").alias("position"), F.to_json(F.struct(*[c for c in df.columns if c != "position"])).alias("value")))
+    for name, (df, key, value) in (maps or {}).items():
+        rows.append(df.select(F.lit(name).alias("part"), F.lit(0).cast("long").alias("position"), F.to_json(F.struct(F.col(key).cast("string").alias("key"), F.col(value).alias("value"))).alias("value")))
+    return reduce(DataFrame.unionByName, rows)

@@ -47,7 +47,7 @@ def tfidf_top_terms(docs: DataFrame, group: str, key: str, text: str = "text", k
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") <= F.col("n") * max_df).select("term", (F.log((F.lit(1) + F.col("n")) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(df, "term").select("g", "d", "term", (F.col("tf") * F.col("idf")).alias("w"))
     scaled = weighted.withColumn("len", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("d"))))
-    mean = scaled.groupBy("g", "term").agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(F.broadcast(sizes), "g").select("g", "term", F.round(F.col("s") / F.col("docs"), 9).alias("weight"))
+    mean = scaled.groupBy("g", "term").agg(F.sum(F.col("w") / F.col("len")).alias("s")).join(sizes, "g").select("g", "term", F.round(F.col("s") / F.col("docs"), 9).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), "term"))
     return mean.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("g").alias(group), "term", "weight", "rank")
 
@@ -116,9 +116,11 @@ def inverted_index(docs: DataFrame, key: str = "id", fields: dict[str, float] |
     return docs.select(F.col(key), parts.alias("p")).select(key, "p.field", "p.boost", F.explode("p.w").alias("term")).groupBy("term", key, "field", "boost").agg(F.count("*").alias("tf"))
 
 
-def fulltext_search(index: DataFrame, query: str, key: str = "id", fuzzy: float = 0.15, limit: int = 25) -> DataFrame:
+def fulltext_search(index: DataFrame, query: str, key: str = "id", fuzzy: float = 0.15, limit: int | None = 25) -> DataFrame:
     """(key, hits, score): rows with a word that begins with a query word, or is within ``fuzzy`` of its length in edits.
 
+    The best ``limit`` rows in order; all of them, in no order, if it is None.
+
     The vocabulary is matched, not the texts; a row's score adds boosted, damped term counts, less for inexact words.
     """
     words = [w for w in query.lower().split() if w]
@@ -126,7 +128,8 @@ def fulltext_search(index: DataFrame, query: str, key: str = "id", fuzzy: float
     match = F.array_compact(F.array(*[F.when(F.startswith("term", F.lit(w)) | (F.levenshtein("term", F.lit(w)) <= round(fuzzy * len(w))), F.struct(F.lit(w).alias("q"), F.when(F.col("term") == w, 1.0).when(F.startswith("term", F.lit(w)), 0.7).otherwise(0.45).alias("weight"))) for w in words]))
     terms = vocabulary.select("term", F.explode(match).alias("m")).select("term", "m.q", "m.weight")
     hits = index.join(terms, "term")
-    return hits.groupBy(key).agg(F.count_distinct("q").alias("hits"), F.round(F.sum(F.col("weight") * F.col("boost") * F.log(F.lit(1.0) + F.col("tf"))), 6).alias("score")).orderBy(F.desc("hits"), F.desc("score"), key).limit(limit)
+    scored = hits.groupBy(key).agg(F.count_distinct("q").alias("hits"), F.round(F.sum(F.col("weight") * F.col("boost") * F.log(F.lit(1.0) + F.col("tf"))), 6).alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("hits"), F.desc("score"), key).limit(limit)
 
 
 def search_index(parts: dict[str, DataFrame]) -> DataFrame:

@@ -8,34 +8,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scalars as S
+from quillgraph.sources import schemas as M
 
 Properties = dict[str, tuple[Column, str]]
 
 
+# Names of properties, as graph queries use them.
 def letter_properties() -> Properties:
-    """P10: of a letter record (nested sender and recipient)."""
+    """P10: of a letter record: what its file says, and the fields that only the register has."""
     date = S.effective(F.col("sent.date"), F.col("received.date"))
-    return {"date": (date, "string"), "datePrecision": (S.date_precision(date), "string"), "status": (F.col("status"), "string"), "publicationStatus": (F.col("publication_status"), "string"), "hasFulltext": (F.col("has_fulltext"), "bool"), "incipit": (S.blank_to_null(F.col("incipit")), "string"), "lang": (F.col("lang"), "string")}
+    text = lambda *names: {n: (S.blank_to_null(F.col(n)), "string") for n in names}
+    meta = {f: (S.blank_to_null(F.col(f"register_meta.{f}")), "string") for f in M.META_FIELDS}
+    return {"date": (date, "string"), "date_precision": (S.date_precision(date), "string"), **text("incipit", "text", "file"), "has_fulltext": (F.col("has_fulltext"), "bool"), **text("status", "lang", "publication_status"), **meta}
+
+
+def _norm(*kinds: str) -> Properties:
+    return {"url" if k == "other" else k: (F.col(f"normdaten.{k}"), "string") for k in kinds}
 
 
 def person_properties() -> Properties:
     """P10: empty lists are absent, false is kept."""
     filled = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return {"label": (F.col("label"), "string"), "kind": (F.col("kind"), "string"), "personType": (F.col("person_type"), "string"), "gender": (F.col("gender"), "string"), "corporateBody": (F.col("corporate_body"), "bool"), "gnd": (F.col("normdaten.gnd"), "string"), "wikidata": (F.col("normdaten.wikidata"), "string"), "other": (F.col("normdaten.other"), "string"), "occupation": (filled("occupation"), "list"), "education": (filled("education"), "list"), "birth": (F.col("birth"), "string"), "death": (F.col("death"), "string")}
+    return {"label": (F.col("label"), "string"), "kind": (F.col("kind"), "string"), "person_type": (F.col("person_type"), "string"), "gender": (F.col("gender"), "string"), "corporate_body": (F.col("corporate_body"), "bool"), **_norm("gnd", "wikidata", "other"), "occupation": (filled("occupation"), "list"), "education": (filled("education"), "list"), "birth": (F.col("birth"), "string"), "death": (F.col("death"), "string")}
 
 
 def place_properties() -> Properties:
-    return {"label": (F.col("label"), "string"), "gnd": (F.col("normdaten.gnd"), "string"), "wikidata": (F.col("normdaten.wikidata"), "string"), "lat": (F.col("coords.lat"), "number"), "lon": (F.col("coords.lon"), "number"), "desc": (F.col("desc"), "string")}
+    return {"label": (F.col("label"), "string"), **_norm("wikidata", "gnd", "other"), "desc": (F.col("desc"), "string"), "lat": (F.col("coords.lat"), "number"), "lon": (F.col("coords.lon"), "number")}
+
+
+def unlinked(field: str) -> Column:
+    """The text of an author or a place that has no key to link it by."""
+    return F.when(S.blank_to_null(F.col(f"{field}.key")).isNull(), S.blank_to_null(F.col(f"{field}.label")))
 
 
 def work_properties() -> Properties:
+    """P10: authors and places that are linked are edges; the others are text."""
     idno = S.flatten_idno(F.col("idno"))
-    return {"label": (F.col("label"), "string"), "litType": (F.col("lit_type"), "string"), "ana": (F.col("ana"), "string"), "date": (F.col("date"), "string"), "isExemplar": (F.col("lit_type") == "charter", "bool"), "idno": (F.when(F.size(idno) > 0, idno), "list")}
+    return {"label": (F.col("label"), "string"), "lit_type": (F.col("lit_type"), "string"), "ana": (F.col("ana"), "string"), "date": (F.col("date"), "string"), "idno": (F.when(F.size(idno) > 0, idno), "list"), "author_label": (unlinked("author"), "string"), "pub_place_label": (unlinked("pub_place"), "string"), "is_exemplar": (F.col("lit_type") == "charter", "bool")}
 
 
 def witness_properties() -> Properties:
     """P10, Q1: the label is the repository, else the signature, else the id."""
-    return {"label": (S.first_filled(F.col("repository"), F.col("signature"), F.col("id")), "string"), "witnessType": (F.col("witness_type"), "string"), "settlement": (F.col("settlement"), "string"), "repository": (F.col("repository"), "string"), "signature": (F.col("signature"), "string"), "note": (F.col("note"), "string")}
+    return {"label": (S.first_filled(F.col("repository"), F.col("signature"), F.col("id")), "string"), "witness_type": (F.col("witness_type"), "string"), "settlement": (F.col("settlement"), "string"), "repository": (F.col("repository"), "string"), "signature": (F.col("signature"), "string"), "note": (F.col("note"), "string")}
 
 
 def with_properties(df: DataFrame, props: Properties) -> DataFrame:

@@ -65,7 +65,8 @@ def lookup_entity(df: DataFrame, query: str, label: str = "label", key: str = "i
 def detail_list(letters: DataFrame, person: str, most: int = 40) -> DataFrame:
     """Each person's letters in order of date, left out where there are more than ``most``."""
     n = F.count("*").over(Window.partitionBy(person))
-    return letters.where(F.col(person).isNotNull()).withColumn("n", n).where(F.col("n") <= most).select(person, "id", "date", "n")
+    place = F.row_number().over(Window.partitionBy(person).orderBy(F.col("date").asc_nulls_last(), "id"))
+    return letters.where(F.col(person).isNotNull()).withColumn("n", n).where(F.col("n") <= most).withColumn("position", place).select(person, "position", "id", "date", "n")
 
 
 def sorted_documents(df: DataFrame, by: str, descending: bool = False) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import dot, unit
+from quillgraph.functions.vectors import dot, truncated, unit
 from quillgraph.operators.graph import correspondence_context, shared_mentions
 from quillgraph.operators.register import between_dates
 
@@ -43,18 +45,48 @@ def semantic_search(vectors: DataFrame, letters: DataFrame, query: Column, k: in
     return joined.orderBy(F.desc("score"), "letter_id").limit(k).withColumn("score", F.round("score", 4))
 
 
-def top_neighbors(vectors: DataFrame, k: int = 5, key: str = "letter_id", blocks: int = 16) -> DataFrame:
-    """(key, other, score, rank): the k most similar others of each vector, exactly.
+#: Vectors that one task compares with each other at a time.
+BLOCK = 4096
 
-    All pairs are a statement of the operation.  Both sides are dealt to blocks; a block pair is a task's work, and each
-    row's best few of a block go on, so what is shuffled grows with rows times blocks and not with pairs.
+
+def top_neighbors(vectors: DataFrame, k: int = 5, key: str = "letter_id", block: int = BLOCK) -> DataFrame:
+    """(key, other, score, rank): the k most similar others of each vector, exactly; ties to the smaller key.
+
+    All pairs are a statement of the operation.  Rows are dealt to as many blocks as their number needs; a pair of blocks
+    is a task's work, a product of two matrices, and gives each row's best few, so what is shuffled grows with rows times
+    blocks and not with pairs.  Scores are sums in order of the components, as ``dot`` has them.
     """
-    unit_rows = vectors.select(F.col(key).alias("k"), unit(F.col("v")).alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    left = unit_rows.select(F.col("k").alias("k1"), F.col("v").alias("v1"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b2"), F.col("b").alias("b1"))
-    right = unit_rows.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("b").alias("b2"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b1"))
-    pairs = left.join(right, ["b1", "b2"]).where("k1 <> k2").select("k1", "k2", dot(F.col("v1"), F.col("v2")).alias("score"))
+    unit_rows = vectors.select(F.col(key).alias("k"), unit(F.col("v")).alias("v")).where("v is not null")
+    kind = unit_rows.schema["k"].dataType.simpleString()
+    blocks = max(1, -(-unit_rows.select("k").count() // block))
+    own = unit_rows.withColumn("x", F.pmod(F.xxhash64("k"), F.lit(blocks)))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = own.withColumn("y", F.explode(every))
+    right = own.select("k", "v", F.col("x").alias("y"), F.explode(every).alias("x"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(a) and len(b):
+            b = b.sort_values("k", kind="stable")
+            names, theirs = b["k"].to_numpy(), np.stack(b["v"].to_numpy()).astype(np.float64)
+            mine = np.stack(a["v"].to_numpy()).astype(np.float64)
+            for at in range(0, len(mine), 256):
+                scores = mine[at : at + 256] @ theirs.T
+                for name, v, row in zip(a["k"].iloc[at : at + 256], mine[at : at + 256], scores):
+                    row[names == name] = -np.inf
+                    # the product's last digits depend on its order, so what is near the k-th is added up anew
+                    least = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -np.inf
+                    near = np.flatnonzero((row >= least) & (row > -np.inf))
+                    exact = np.zeros(len(near))
+                    for d in range(len(v)):
+                        exact = exact + v[d] * theirs[near, d]
+                    order = np.lexsort((near, -exact))[:k]  # names are in order
+                    found += [(name, names[near[i]], float(exact[i])) for i in order]
+        return pd.DataFrame(found, columns=["k1", "k2", "score"])
+
+    met = left.groupBy("x", F.col("y").cast("long").alias("y")).cogroup(right.groupBy(F.col("x").cast("long").alias("x"), "y")).applyInPandas(compare, f"k1 {kind}, k2 {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("k1").orderBy(F.desc("score"), "k2"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k1").alias(key), F.col("k2").alias("other"), "score", "rank")
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("k1").alias(key), F.col("k2").alias("other"), "score", "rank")
 
 
 def overlap_at_k(a: DataFrame, b: DataFrame, k: int = 10, key: str = "letter_id") -> DataFrame:
@@ -66,7 +98,7 @@ def overlap_at_k(a: DataFrame, b: DataFrame, k: int = 10, key: str = "letter_id"
 def truncation_gate(chunks: DataFrame, dim: int, k: int = 10, least: float = 0.8) -> DataFrame:
     """T5: whether the first ``dim`` components rank neighbours nearly as all do."""
     full = top_neighbors(chunks.select(F.col("chunk_id").alias("letter_id"), "v"), k)
-    cut = top_neighbors(chunks.select(F.col("chunk_id").alias("letter_id"), F.slice("v", 1, dim).alias("v")), k)
+    cut = top_neighbors(chunks.select(F.col("chunk_id").alias("letter_id"), truncated(F.col("v"), dim).alias("v")), k)
     return overlap_at_k(full, cut, k).withColumn("truncate", F.col("overlap") >= least)
 
 
@@ -125,9 +157,9 @@ def graphrag_context(chunks: DataFrame, query: Column, mentions: DataFrame, lett
     only = hits.select("letter_id")
     shared = shared_mentions(mentions, only, least_shared).join(ids, F.col("letter") == F.col("letter_id"))
     same = correspondence_context(letters, only, days).join(ids, F.col("letter") == F.col("letter_id"))
-    own = hits.select(F.lit(0).alias("anchor"), F.col("letter_id").alias("id"), _seq(F.lit(0), F.col("hit"), F.lit(0), F.col("letter_id")).alias("seq"), F.lit("Embedding match").alias("reason"))
-    a = shared.select(F.lit(0).alias("anchor"), F.col("other").alias("id"), _seq(F.col("hit") * 2, -F.col("shared"), F.lit(0), F.col("other")).alias("seq"), F.format_string("Shares %d mentions with hit %s", "shared", F.col("letter").cast("string")).alias("reason"))
-    b = same.select(F.lit(0).alias("anchor"), F.col("other").alias("id"), _seq(F.col("hit") * 2 + 1, F.col("days_apart"), F.lit(0), F.col("other")).alias("seq"), F.format_string("In the correspondence context of %s (%d days apart)", F.col("letter").cast("string"), "days_apart").alias("reason"))
+    own = hits.select(F.lit(0).alias("anchor"), F.col("letter_id").alias("id"), _seq(F.lit(0), F.col("hit"), F.lit(0), F.col("letter_id")).alias("seq"), F.lit("answers the question").alias("reason"))
+    a = shared.select(F.lit(0).alias("anchor"), F.col("other").alias("id"), _seq(F.col("hit") * 2, -F.col("shared"), F.lit(0), F.col("other")).alias("seq"), F.format_string("%d register mentions in common with letter %s", "shared", F.col("letter").cast("string")).alias("reason"))
+    b = same.select(F.lit(0).alias("anchor"), F.col("other").alias("id"), _seq(F.col("hit") * 2 + 1, F.col("days_apart"), F.lit(0), F.col("other")).alias("seq"), F.format_string("same two correspondents as letter %s, %d days apart", F.col("letter").cast("string"), "days_apart").alias("reason"))
     filled = capped_fill(seeds, own.unionByName(a).unionByName(b), most)
     order = Window.orderBy(F.desc_nulls_last("score"), F.when(F.col("score").isNull(), -F.size("reasons")), "first")  # at most `most` rows
     return filled.withColumn("rank", F.row_number().over(order)).select("rank", "id", F.round("score", 6).alias("score"), F.size("reasons").alias("n_reasons"), "reasons")

@@ -175,49 +175,93 @@ def read_only(cypher: str) -> str:
     return cypher
 
 
-_NODE = r"\(\s*(\w+)\s*(?::\s*(\w+))?\s*(?:\{\s*(\w+)\s*:\s*'([^']*)'\s*\})?\s*\)"
-_EDGE = r"\s*(<?)-\s*\[\s*(?:\w+)?\s*(?::\s*(\w+))?\s*\]\s*-(>?)\s*"
+_NODE = r"\(\s*(\w+)\s*(?::\s*(\w+))?\s*(?:\{\s*(\w+)\s*:\s*(?:'([^']*)'|(\w+))\s*\})?\s*\)"
+_EDGE = r"\s*(<?)-\s*\[\s*(\w+)?\s*(?::\s*(\w+))?\s*\]\s*-(>?)\s*"
+_CONDITION = r"(\w+)\.(\w+)\s*(=|<>|<=|>=|<|>|STARTS\s+WITH|ENDS\s+WITH|CONTAINS)\s*'([^']*)'"
+_CYPHER = r"\s*(?:UNWIND\s+\[(.*?)\]\s+AS\s+(\w+)\s+)?MATCH\s+(.*?)(?:\s+WHERE\s+(.*?))?\s+RETURN\s+(.*?)(?:\s+ORDER\s+BY\s+(.*?))?(?:\s+LIMIT\s+(\d+))?\s*;?\s*"
+
+
+def _compared(c: Column, sign: str, value: str) -> Column:
+    """A condition of WHERE; null is never true."""
+    known = {"=": c == value, "<>": c != value, "<": c < value, ">": c > value, "<=": c <= value, ">=": c >= value, "STARTS WITH": c.startswith(value), "ENDS WITH": c.endswith(value), "CONTAINS": c.contains(value)}
+    return known[" ".join(sign.upper().split())]
 
 
 def cypher(nodes: DataFrame, edges: DataFrame, text: str, limit: int = 100) -> DataFrame:
-    """A subset of Cypher: MATCH of one path with labels and an id or other property, RETURN of variables (their ids),
-    ``var.property`` and count(*), ORDER BY, LIMIT.  Rows are limited to ``limit`` where the query says nothing (O8)."""
-    m = re.fullmatch(r"\s*MATCH\s+(.*?)\s+RETURN\s+(.*?)(?:\s+ORDER\s+BY\s+(.*?))?(?:\s+LIMIT\s+(\d+))?\s*;?\s*", read_only(text), re.I | re.S)
+    """A subset of Cypher: UNWIND of a list of texts, MATCH of one path with labels and an id or other property (a text or the
+    unwound variable), WHERE with comparisons of properties joined by AND, RETURN of variables (their ids),
+    ``var.property``, ``labels(var)``, ``type(edge)`` and count(*), ORDER BY, LIMIT.  Anything else is an error.  Rows are
+    limited to ``limit`` where the query says nothing (O8)."""
+    m = re.fullmatch(_CYPHER, read_only(text), re.I | re.S)
     if not m:
         raise ValueError("only MATCH … RETURN … is known")
-    chain, at = m[1], 0
+    listed, unwound, chain, where, returned, ordered, most = m.groups()
+    at = 0
     found: list[tuple] = []
     links: list[tuple] = []
     while node := re.compile(_NODE).match(chain, at):
         found.append(node.groups())
         at = node.end()
         if edge := re.compile(_EDGE).match(chain, at):
-            links.append((edge[2], "in" if edge[1] else "out"))
+            links.append((edge[3], "in" if edge[1] else "out", edge[2]))
             at = edge.end()
         else:
             break
     if at != len(chain.rstrip()) or len(links) != len(found) - 1:
         raise ValueError(f"not understood: {chain[at : at + 40]}")
     rows = path(nodes, edges, [n[1] for n in found], [x[0] for x in links], [x[1] for x in links])
-    for i, (_, _, prop, value) in enumerate(found):
-        if prop:
-            rows = rows.join(nodes.where(F.col("key" if prop == "id" else prop) == value).select(F.col("key").alias(f"n{i}")), f"n{i}", "left_semi")
     place = {n[0]: f"n{i}" for i, n in enumerate(found)}
-    keys, counts = [], []
-    for item in re.split(r"\s*,\s*", m[2]):
+    relation = {x[2]: f"e{i}" for i, x in enumerate(links, 1) if x[2]}
+    column = lambda prop: F.col("key" if prop == "id" else prop)
+    for i, (_, _, prop, value, variable) in enumerate(found):
+        if variable:
+            if variable != unwound:
+                raise ValueError(f"unknown variable: {variable}")
+            values = [a or b for a, b in re.findall(r"'([^']*)'|\"([^\"]*)\"", listed)]
+            given = nodes.sparkSession.createDataFrame([(v,) for v in values], "value string")
+            named = nodes.select(F.col("key").alias(f"n{i}"), column(prop).alias("value")).join(F.broadcast(given), "value")  # as many as the text has
+            rows = rows.join(named.withColumnRenamed("value", f"_{unwound}"), f"n{i}")
+        elif prop:
+            rows = rows.join(nodes.where(column(prop) == value).select(F.col("key").alias(f"n{i}")), f"n{i}", "left_semi")
+    if where:
+        conditions = re.findall(_CONDITION, where, re.I)
+        if not re.fullmatch(r"\s*#(\s+AND\s+#)*\s*", re.sub(_CONDITION, "#", where, flags=re.I), re.I):
+            raise ValueError(f"not understood: {where}")
+        for var, prop, sign, value in conditions:
+            if var not in place:
+                raise ValueError(f"unknown variable: {var}")
+            rows = rows.join(nodes.where(_compared(column(prop), sign, value)).select(F.col("key").alias(place[var])), place[var], "left_semi")
+    keys, counts, names = [], [], {}
+    for item in re.split(r"\s*,\s*", returned):
         expr, _, name = (x.strip() for x in re.sub(r"\s+AS\s+", "\0", item, flags=re.I).partition("\0"))
         if re.fullmatch(r"count\(\s*\*\s*\)", expr, re.I):
             counts.append(F.count("*").alias(name or "count"))
             continue
+        if f := re.fullmatch(r"(labels|type)\(\s*(\w+)\s*\)", expr, re.I):
+            known = place if f[1].lower() == "labels" else relation
+            if f[2] not in known:
+                raise ValueError(f"unknown variable: {f[2]}")
+            name = name or f"{f[1].lower()}_{f[2]}"
+            if known is relation:
+                keys.append(F.col(relation[f[2]]).alias(name))
+            else:
+                rows = rows.join(nodes.select(F.col("key").alias(place[f[2]]), F.array("type").alias(f"labels_{f[2]}")), place[f[2]])
+                keys.append(F.col(f"labels_{f[2]}").alias(name))
+            continue
         var, _, prop = expr.partition(".")
+        if unwound and expr == unwound:
+            keys.append(F.col(f"_{unwound}").alias(name or unwound))
+            continue
         if var not in place:
             raise ValueError(f"unknown variable: {var}")
-        column = place[var]
+        at_ = place[var]
         if prop and prop != "id":
-            rows = rows.join(nodes.select(F.col("key").alias(column), F.col(prop).alias(f"{var}_{prop}")), column)
-            column = f"{var}_{prop}"
-        keys.append(F.col(column).alias(name or (f"{var}_{prop}" if prop else var)))
+            rows = rows.join(nodes.select(F.col("key").alias(at_), F.col(prop).alias(f"{var}_{prop}")), at_)
+            at_ = f"{var}_{prop}"
+        names[expr] = name or (f"{var}_{prop}" if prop else var)
+        keys.append(F.col(at_).alias(names[expr]))
     rows = rows.groupBy(*keys).agg(*counts) if counts else rows.select(*keys)
-    if m[3]:
-        rows = rows.orderBy(*[F.col(c.split()[0].replace(".", "_")).desc() if c.lower().endswith(" desc") else F.col(c.split()[0].replace(".", "_")) for c in re.split(r"\s*,\s*", m[3].strip())])
-    return rows.limit(int(m[4] or limit))
+    if ordered:
+        by = [(x.split()[0], x.lower().endswith(" desc")) for x in re.split(r"\s*,\s*", ordered.strip())]
+        rows = rows.orderBy(*[(F.col(names.get(c, c).replace(".", "_")).desc() if down else F.col(names.get(c, c).replace(".", "_"))) for c, down in by])
+    return rows.limit(int(most or limit))

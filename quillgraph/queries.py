@@ -196,7 +196,7 @@ def register_page(spark: SparkSession, d: str) -> DataFrame:
     return register.page(letters, register.by_date(letters), 25, 2).select("id", "date")
 
 
-@query("letters", sql="SELECT sender, id, date, n FROM (SELECT *, count(*) OVER (PARTITION BY sender) AS n FROM letters WHERE sender IS NOT NULL) WHERE n <= 600")
+@query("letters", sql="SELECT sender, CAST(position AS INTEGER) AS position, id, date, n FROM (SELECT *, count(*) OVER (PARTITION BY sender) AS n, row_number() OVER (PARTITION BY sender ORDER BY date, id) AS position FROM letters WHERE sender IS NOT NULL) WHERE n <= 600")
 def detail_list(spark: SparkSession, d: str) -> DataFrame:
     return register.detail_list(Corpus(spark, d).letters, "sender", 600)
 
@@ -585,10 +585,10 @@ def _dated_texts(c: Corpus) -> DataFrame:
     k = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     found = F.when(k % 3 == 0, day).when(k % 3 == 1, F.substring(day, 1, 8))
-    return c.table("orders").where(k % 10 == 0).select(k.alias("text_id"), found.alias("found_date"), k.alias("position"))
+    return c.table("orders").select(k.alias("text_id"), found.alias("found_date"), k.alias("position"))
 
 
-MODEL["dated"] = "dated AS (SELECT o_orderkey AS text_id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-') END AS found_date, o_orderkey AS position FROM orders WHERE o_orderkey % 10 = 0)"
+MODEL["dated"] = "dated AS (SELECT o_orderkey AS text_id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-') END AS found_date, o_orderkey AS position FROM orders)"
 
 
 @query("letters", "dated", sql="SELECT text_id, any_value(found_date) AS found_date, any_value(position) AS position, min(id) AS match FROM dated LEFT JOIN letters ON starts_with(date, found_date) GROUP BY text_id")
@@ -603,10 +603,10 @@ def date_match_consume(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_consume(_dated_texts(c), c.letters)
 
 
-@query("letters", sql="SELECT t.id AS text_id, t.date, t.sender, t.recipient, m.match FROM letters t LEFT JOIN (SELECT date, sender, recipient, min(id) AS match FROM letters GROUP BY ALL HAVING count(*) = 1) m ON t.date = m.date AND t.sender = m.sender AND t.recipient = m.recipient WHERE t.id % 7 = 0")
+@query("letters", sql="SELECT t.id AS text_id, t.date, t.sender, t.recipient, m.match FROM letters t LEFT JOIN (SELECT date, sender, recipient, min(id) AS match FROM letters GROUP BY ALL HAVING count(*) = 1) m ON t.date = m.date AND t.sender = m.sender AND t.recipient = m.recipient")
 def date_match_unique(spark: SparkSession, d: str) -> DataFrame:
     letters = Corpus(spark, d).letters
-    texts = letters.where("id % 7 = 0").select(F.col("id").alias("text_id"), "date", "sender", "recipient")
+    texts = letters.select(F.col("id").alias("text_id"), "date", "sender", "recipient")
     return matching.match_unique(texts, letters, ["date", "sender", "recipient"])
 
 
@@ -614,12 +614,12 @@ MODEL["archive"] = "archive AS (SELECT id, date, 'rep-' || publication_status AS
 
 
 @query("letters", "archive", sql="""SELECT text_id, any_value(date) AS date, any_value(repository) AS repository, any_value(place) AS place, min(match) AS match FROM (
-  SELECT t.*, CASE WHEN n = 1 OR contains(lower(t.place), lower(m.pl)) THEN m.id END AS match FROM (SELECT id AS text_id, date, 'rep-' || substr(publication_status, 1, 3) AS repository, 'near ' || place AS place FROM letters WHERE id % 7 = 0) t
-  LEFT JOIN (SELECT t.id AS tid, a.id, a.place AS pl, count(*) OVER (PARTITION BY t.id) AS n FROM letters t JOIN archive a ON t.date = a.date AND starts_with(a.repository, 'rep-' || substr(t.publication_status, 1, 3)) WHERE t.id % 7 = 0) m ON text_id = tid) GROUP BY text_id""")
+  SELECT t.*, CASE WHEN n = 1 OR contains(lower(t.place), lower(m.pl)) THEN m.id END AS match FROM (SELECT id AS text_id, date, 'rep-' || substr(publication_status, 1, 3) AS repository, 'near ' || place AS place FROM letters) t
+  LEFT JOIN (SELECT t.id AS tid, a.id, a.place AS pl, count(*) OVER (PARTITION BY t.id) AS n FROM letters t JOIN archive a ON t.date = a.date AND starts_with(a.repository, 'rep-' || substr(t.publication_status, 1, 3))) m ON text_id = tid) GROUP BY text_id""")
 def cascaded_match(spark: SparkSession, d: str) -> DataFrame:
     letters = Corpus(spark, d).letters
     archive = letters.select("id", "date", F.concat(F.lit("rep-"), "publication_status").alias("repository"), "place")
-    texts = letters.where("id % 7 = 0").select(F.col("id").alias("text_id"), "date", F.concat(F.lit("rep-"), F.substring("publication_status", 1, 3)).alias("repository"), F.concat(F.lit("near "), "place").alias("place"))
+    texts = letters.select(F.col("id").alias("text_id"), "date", F.concat(F.lit("rep-"), F.substring("publication_status", 1, 3)).alias("repository"), F.concat(F.lit("near "), "place").alias("place"))
     return matching.match_cascaded(texts, archive)
 
 
@@ -630,7 +630,7 @@ def register_join(spark: SparkSession, d: str) -> DataFrame:
     return matching.register_join(rows, c.persons, c.places).select("id", "person", "place", "person_id", "place_id")
 
 
-@query("works", sql="SELECT text, min(id) AS entity FROM (SELECT DISTINCT part AS text FROM (SELECT unnest(string_split(p_name, ' ')) AS part FROM part) WHERE part <> '') t LEFT JOIN works ON contains(' ' || lower(label) || ' ', ' ' || lower(text) || ' ') GROUP BY text")
+@query("works", sql="SELECT text, min(id) AS entity FROM (SELECT DISTINCT part AS text FROM (SELECT unnest(string_split(p_name, ' ')) AS part FROM part) WHERE part <> '') t LEFT JOIN works ON contains(lower(label), lower(text)) GROUP BY text")
 def name_contains(spark: SparkSession, d: str) -> DataFrame:
     works = Corpus(spark, d).works
     texts = works.select(F.explode(F.split("label", " ")).alias("text")).where("text <> ''").distinct()
@@ -639,9 +639,9 @@ def name_contains(spark: SparkSession, d: str) -> DataFrame:
 
 @query(name="fuzzy_link")
 def fuzzy_link(spark: SparkSession, d: str) -> DataFrame:
-    """Names of parts with a letter left out against the register of parts; the measure isn't SQL."""
+    """Names of parts without their second letter against the register of parts; the measure isn't SQL."""
     works = Corpus(spark, d).works
-    mentions = works.select(F.col("id").alias("mention"), F.concat(F.substring("label", 1, 3), F.substring("label", 5, 100)).alias("text"), F.lit("work").alias("kind"))
+    mentions = works.select(F.col("id").alias("mention"), F.concat(F.substring("label", 1, 1), F.substring("label", 3, 1000)).alias("text"), F.lit("work").alias("kind"))
     bank = works.groupBy("label").agg(F.min("id").alias("entity")).withColumn("kind", F.lit("work"))
     return matching.fuzzy_link(mentions, bank).select("mention", "entity", F.round("score", 6).alias("score"), "method")
 
@@ -670,7 +670,7 @@ def fulltext_search(spark: SparkSession, d: str) -> DataFrame:
     """The set of matches; a whole table's, so that no ranking decides."""
     works = Corpus(spark, d).works
     index = passages.inverted_index(works.select("id", F.col("label").alias("title"), F.lit("").alias("text")))
-    return passages.fulltext_search(index, "wid bolz", limit=1_000_000).select("id", "hits")
+    return passages.fulltext_search(index, "wid bolz", limit=None).select("id", "hits")
 
 
 # Formats and declarative queries
@@ -699,7 +699,9 @@ def _triples(c: Corpus) -> DataFrame:
 
 @query("letters", "mentions", "triples", sql="SELECT DISTINCT s, p, o FROM triples")
 def triples(spark: SparkSession, d: str) -> DataFrame:
-    return _triples(Corpus(spark, d)).select("s", "p", "o").distinct()
+    """An export reads letters once for all kinds of triples."""
+    c = Corpus(spark, d)
+    return sinks.letter_triples(c.letters, BASE, one_pass=True).unionByName(sinks.mention_triples(c.mentions, BASE, "work")).select("s", "p", "o").distinct()
 
 
 @query("letters", "mentions", "triples", sql="SELECT substr(o, 1, 4) AS year, count(*) AS n FROM triples WHERE p = 'http://schema.org/dateCreated' GROUP BY 1")
@@ -742,9 +744,12 @@ def letters_index(spark: SparkSession, d: str) -> DataFrame:
     return sinks.letters_index(c.letters, c.persons)
 
 
-@query("letters", sql="""SELECT id, '<correspDesc key="' || id || '"><correspAction type="sent"><persName ref="' || sender || '"/><placeName ref="' || place || '"/><date when="' || date || '"/></correspAction><correspAction type="received">' || coalesce('<persName ref="' || recipient || '"/>', '') || '</correspAction></correspDesc>' AS value FROM letters""")
+@query("letters", "persons", "places", sql=f"""SELECT l.id, '<correspDesc key="' || l.id || '" ref="{BASE}letter/' || l.id || '"><correspAction type="sent"><persName key="' || sender || '">' || s.label || '</persName><placeName key="' || place || '">' || o.label || '</placeName><date when="' || date || '">' || date || '</date></correspAction>'
+  || CASE WHEN recipient IS NULL THEN '' ELSE '<correspAction type="received"><persName key="' || recipient || '">' || r.label || '</persName></correspAction>' END || '</correspDesc>' AS value
+  FROM letters l JOIN persons s ON sender = s.id LEFT JOIN persons r ON recipient = r.id JOIN places o ON place = o.id""")
 def cmif_export(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.cmif(Corpus(spark, d).letters)
+    c = Corpus(spark, d)
+    return sinks.cmif(c.letters, c.persons, c.places, BASE)
 
 
 @query(sql="SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -798,9 +803,9 @@ def text_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(spark, d).texts.select("letter_id", F.size(at).alias("n"), F.try_element_at(at, F.lit(1)).alias("first"))
 
 
-@query("texts", sql="SELECT letter_id, substr(text, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0)) || '[' || substr(text, s + 1, 5) || ']' || substr(text, s + 6, 60) AS context FROM (SELECT letter_id, text, CAST(letter_id % 90 AS INTEGER) AS s FROM texts WHERE length(text) > 200)")
+@query("texts", sql="SELECT letter_id, substr(text, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0)) || '[' || substr(text, s + 1, 5) || ']' || substr(text, s + 6, 60) AS context FROM (SELECT letter_id, text, CAST(letter_id % 90 AS INTEGER) AS s FROM texts)")
 def span_contexts(spark: SparkSession, d: str) -> DataFrame:
-    t = Corpus(spark, d).texts.where("length(text) > 200")
+    t = Corpus(spark, d).texts
     spans = t.select("letter_id", (F.col("letter_id") % 90).cast("int").alias("start"), ((F.col("letter_id") % 90) + 5).cast("int").alias("end"))
     return passages.with_context(spans, t).select("letter_id", "context")
 
@@ -831,10 +836,12 @@ def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return records.cluster_sizes(Corpus(spark, d).chunks)
 
 
-@query("letters", "mentions", sql="""SELECT id, '{"id":' || id || ',"sender":"' || sender || '",' || CASE WHEN recipient IS NULL THEN '' ELSE '"recipient":"' || recipient || '",' END || '"date":"' || date || '","mentions":[' || coalesce((SELECT string_agg('"' || entity_id || '"', ',' ORDER BY entity_id) FROM mentions WHERE letter_id = id), '') || ']}' AS value FROM letters""")
+@query("letters", "mentions", sql="""SELECT id, '{"id":' || id || ',"signature":"Hs. ' || id || '","sender":"' || sender || '",' || CASE WHEN recipient IS NULL THEN '' ELSE '"recipient":"' || recipient || '",' END || '"date":"' || date || '","mentioned":{"places":[],"persons":[],"literature":['
+  || coalesce((SELECT string_agg('"' || entity_id || '"', ',' ORDER BY entity_id) FROM mentions WHERE letter_id = id), '') || ']},"normalized":"Text ' || id || '"}' AS value FROM letters""")
 def rag_export(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
-    return sinks.rag_json(c.letters, c.mentions)
+    letters = c.letters.withColumn("signature", F.concat(F.lit("Hs. "), F.col("id").cast("string"))).withColumn("normalized", F.concat(F.lit("Text "), F.col("id").cast("string")))
+    return sinks.rag_json(letters, c.mentions.select("letter_id", F.lit("literature").alias("kind"), F.col("entity_id").alias("label")))
 
 
 @query("letters", "persons", "places", "works", "mention_rows", "edges", "nodes", sql="""SELECT 'node' AS part, '{"key":"' || key || '","attributes":{"type":"' || type || '"' || CASE WHEN label IS NULL THEN '' ELSE ',"label":"' || label || '"' END || CASE WHEN date IS NULL THEN '' ELSE ',"date":"' || date || '"' END || '}}' AS value FROM nodes
@@ -844,7 +851,7 @@ def graph_export(spark: SparkSession, d: str) -> DataFrame:
     return sinks.graph_json(_nodes(c), _edges(c))
 
 
-@query("persons", sql="SELECT string_agg(id || ';' || label, '|' ORDER BY id) AS value FROM persons")
+@query("persons", sql="SELECT 0 AS part, string_agg(id || ';' || label, '|' ORDER BY id) AS value FROM persons")
 def lookup_string(spark: SparkSession, d: str) -> DataFrame:
     return sinks.lookup_string(Corpus(spark, d).persons)
 
@@ -871,3 +878,6 @@ def cypher_batches(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
     nodes = _nodes(c)
     return sinks.batches(sinks.edge_statements(graph.merged_edges(_edges(c), nodes), nodes)).select("stage", "folder", "part", "statements")
+
+
+from quillgraph import queries_more  # noqa: E402, F401  registers the rest

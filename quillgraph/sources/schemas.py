@@ -25,7 +25,8 @@ NOTE_FIELDS = {
 #: Notes whose text must be a URL.
 URL_NOTES = ("url_facsimile", "iiif_manifest", "iiif_canvas")
 
-REGISTER_META = "struct<" + ",".join(f"{f}:string" for f in [*NOTE_FIELDS.values(), "published_in_url"]) + ">"
+META_FIELDS = [*NOTE_FIELDS.values(), "published_in_url"]
+REGISTER_META = "struct<" + ",".join(f"{f}:string" for f in META_FIELDS) + ">"
 LETTER = f"id string, file string, has_fulltext boolean, status string, sha256 string, sent {ACTION}, received {ACTION}, mentions {MENTIONS}, text string, incipit string, lang string, publication_status string, register_meta {REGISTER_META}"
 PERSON = f"id string, kind string, label string, person_type string, gender string, corporate_body boolean, normdaten {NORMDATEN}, occupation array<string>, education array<string>, birth string, death string"
 PLACE = f"id string, label string, normdaten {NORMDATEN}, coords struct<lat:double,lon:double>, `desc` string"

@@ -87,7 +87,7 @@ def batches(statements: DataFrame, size: int = 500) -> DataFrame:
 
     Statements are numbered inside folders of a hash, so no task has to see them all; a folder's last batch may be short.
     """
-    folders = 64
+    folders = max(1, -(-statements.count() // (64 * size)))  # some sixty-four transactions to a folder
     f = F.pmod(F.xxhash64("key"), F.lit(folders)).cast("int")
     n = F.row_number().over(Window.partitionBy("stage", "folder").orderBy("key", "statement"))
     numbered = statements.withColumn("folder", f).withColumn("n", n).withColumn("part", F.floor((F.col("n") - 1) / size))
@@ -138,22 +138,91 @@ def mention_triples(mentions: DataFrame, base: str, kind: str) -> DataFrame:
     return triple(mentions, S.entity_uri(base, F.lit("letter"), F.col("letter_id").cast("string")), f"{CSVOC}mentions", S.entity_uri(base, F.lit(kind), F.col("entity_id")), "uri")
 
 
-def entity_triples(entities: DataFrame, base: str, kind: str, rdf_type: str) -> DataFrame:
-    """K6: type and label of entities (id, label), and what links them to authorities if they have ``normdaten``."""
-    uri = S.entity_uri(base, F.lit(kind), F.col("id"))
-    out = [triple(entities, uri, f"{RDF}type", F.lit(rdf_type), "uri"), triple(entities, uri, f"{RDFS}label", F.col("label"))]
-    if "normdaten" in entities.columns:
-        out += [triple(entities, uri, f"{OWL}sameAs", F.col(f"normdaten.{x}"), "uri") for x in ("gnd", "wikidata")] + [triple(entities, uri, f"{RDFS}seeAlso", F.col("normdaten.other"), "uri")]
-    if "coords" in entities.columns:
-        placed, node = entities.where("coords is not null"), F.concat(F.lit("_:geo-"), F.col("id"))
-        out += [triple(placed, uri, f"{SCHEMA}geo", node, "bnode"), triple(placed, node, f"{RDF}type", F.lit(f"{SCHEMA}GeoCoordinates"), "uri"), triple(placed, node, f"{SCHEMA}latitude", F.col("coords.lat"), "literal", F.lit(f"{XSD}double")), triple(placed, node, f"{SCHEMA}longitude", F.col("coords.lon"), "literal", F.lit(f"{XSD}double"))]
-    return reduce(DataFrame.unionByName, out)
+TRIPLE_KIND = "array<struct<s:string,p:string,o:string,o_kind:string,o_type:string>>"
+
+
+def _one(s: Column, p: str, o: Column, kind: str = "literal", o_type: str | None = None) -> Column:
+    """A list of one triple; of none if the object isn't there."""
+    row = F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(o_type).cast("string").alias("o_type"))
+    return F.when(F.coalesce(o.cast("string"), F.lit("")) != "", F.array(row)).otherwise(F.expr(f"cast(array() as {TRIPLE_KIND})"))
+
+
+def _each(s: Column, p: str, os: Column) -> Column:
+    """A triple for each filled entry of a list."""
+    rows = F.transform(F.filter(os, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.struct(s.alias("s"), F.lit(p).alias("p"), x.alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_type")))
+    return F.coalesce(rows, F.expr(f"cast(array() as {TRIPLE_KIND})"))
+
+
+def _exploded(df: DataFrame, *parts: Column) -> DataFrame:
+    """All triples of each row, in one pass."""
+    return df.select(F.explode(F.flatten(F.array(*parts))).alias("t")).select("t.*")
+
+
+def _authorities(uri: Column) -> list[Column]:
+    return [*(_one(uri, f"{OWL}sameAs", F.col(f"normdaten.{x}"), "uri") for x in ("gnd", "wikidata")), _one(uri, f"{RDFS}seeAlso", F.col("normdaten.other"), "uri")]
+
+
+# Classes and predicates of the register's entries; `voc` is the edition's own vocabulary.
+def person_triples(persons: DataFrame, base: str, voc: str) -> DataFrame:
+    """K6: persons, groups and corporate bodies."""
+    uri = S.entity_uri(base, F.lit("person"), F.col("id"))
+    kind = F.when(F.col("corporate_body"), f"{CSVOC}Institution").when(F.col("kind") == "personGrp", f"{CSVOC}Group").otherwise(f"{CSVOC}Person")
+    return _exploded(
+        persons, _one(uri, f"{RDF}type", kind, "uri"), _one(uri, f"{RDFS}label", F.col("label")), *_authorities(uri), _one(uri, f"{voc}personType", F.col("person_type")), _one(uri, f"{SCHEMA}gender", F.col("gender")),
+        _each(uri, f"{SCHEMA}jobTitle", F.col("occupation")), _each(uri, f"{voc}education", F.col("education")), _one(uri, f"{SCHEMA}birthDate", F.col("birth")), _one(uri, f"{SCHEMA}deathDate", F.col("death")),
+    )
+
+
+def place_triples(places: DataFrame, base: str) -> DataFrame:
+    """K6: places; coordinates are a node of their own."""
+    uri, geo = S.entity_uri(base, F.lit("place"), F.col("id")), F.when(F.col("coords").isNotNull(), F.concat(F.lit("_:geo-"), F.col("id")))
+    return _exploded(
+        places, _one(uri, f"{RDF}type", F.lit(f"{CSVOC}Place"), "uri"), _one(uri, f"{RDFS}label", F.col("label")), *_authorities(uri), _one(uri, f"{SCHEMA}description", F.col("desc")), _one(uri, f"{SCHEMA}geo", geo, "bnode"),
+        _one(geo, f"{RDF}type", F.when(geo.isNotNull(), F.lit(f"{SCHEMA}GeoCoordinates")), "uri"), _one(geo, f"{SCHEMA}latitude", F.col("coords.lat"), "literal", f"{XSD}double"), _one(geo, f"{SCHEMA}longitude", F.col("coords.lon"), "literal", f"{XSD}double"),
+    )
+
+
+def work_triples(works: DataFrame, base: str, voc: str) -> DataFrame:
+    """K6: works; an author or a place without a key is text, one with a key a relation."""
+    uri = S.entity_uri(base, F.lit("work"), F.col("id"))
+    text = lambda field: F.when(S.blank_to_null(F.col(f"{field}.key")).isNull(), F.col(f"{field}.label"))
+    return _exploded(
+        works, _one(uri, f"{RDF}type", F.lit(f"{SCHEMA}CreativeWork"), "uri"), _one(uri, f"{RDFS}label", F.col("label")), _one(uri, f"{voc}litType", F.col("lit_type")), _one(uri, f"{voc}ana", F.col("ana")), _one(uri, f"{SCHEMA}dateCreated", F.col("date")),
+        _each(uri, f"{DCTERMS}identifier", S.flatten_idno(F.col("idno"))), _one(uri, f"{SCHEMA}author", text("author")), _one(uri, f"{SCHEMA}locationCreated", text("pub_place")),
+    )
+
+
+def witness_triples(witnesses: DataFrame, base: str, voc: str) -> DataFrame:
+    """K6: witnesses of works."""
+    uri = S.entity_uri(base, F.lit("witness"), F.col("id"))
+    return _exploded(
+        witnesses, _one(uri, f"{RDF}type", F.lit(f"{SCHEMA}CreativeWork"), "uri"), _one(uri, f"{RDFS}label", S.first_filled(F.col("repository"), F.col("signature"), F.col("id"))), _one(uri, f"{voc}witnessType", F.col("witness_type")), _one(uri, f"{voc}settlement", F.col("settlement")),
+        _one(uri, f"{voc}repository", F.col("repository")), _one(uri, f"{DCTERMS}identifier", F.col("signature")), _one(uri, f"{SCHEMA}description", F.col("note")),
+    )
 
 
 # Predicates of the relations between entities.
 RELATIONS = {"AUTHORED_BY": f"{SCHEMA}author", "PUBLISHED_AT": f"{SCHEMA}locationCreated", "WITNESS_OF": f"{SCHEMA}exampleOfWork"}
 
 
+def relation_triples(works: DataFrame, witnesses: DataFrame, base: str) -> DataFrame:
+    """Who wrote a work, where it was published, what a witness is a witness of."""
+    end = lambda kind, key: F.when(S.blank_to_null(F.col(key)).isNotNull(), S.entity_uri(base, F.lit(kind), F.col(key)))
+    work, witness = S.entity_uri(base, F.lit("work"), F.col("id")), S.entity_uri(base, F.lit("witness"), F.col("id"))
+    of_works = _exploded(works, _one(work, RELATIONS["AUTHORED_BY"], end("person", "author.key"), "uri"), _one(work, RELATIONS["PUBLISHED_AT"], end("place", "pub_place.key"), "uri"))
+    return of_works.unionByName(_exploded(witnesses, _one(witness, RELATIONS["WITNESS_OF"], end("work", "corresp"), "uri")))
+
+
+# Predicates of what a letter record says of itself; web addresses are nodes.
+def letter_metadata_triples(letters: DataFrame, base: str, voc: str) -> DataFrame:
+    """K6: flat facts of letter records: texts, status, and the register's fields."""
+    uri = S.entity_uri(base, F.lit("letter"), F.col("id").cast("string"))
+    meta = lambda f: F.col(f"register_meta.{f}")
+    text = {f"{SCHEMA}abstract": F.col("incipit"), f"{SCHEMA}text": F.col("text"), f"{SCHEMA}inLanguage": F.col("lang"), f"{voc}publicationStatus": F.col("publication_status"), f"{voc}reviewStatus": F.col("status"), f"{voc}harrisNumber": meta("harris_number"), f"{voc}journalNumber": meta("journal_number"), f"{voc}repositoryPlace": meta("repository_place"), f"{voc}repositoryInstitution": meta("repository_institution"), f"{DCTERMS}identifier": meta("signature"), f"{DCTERMS}bibliographicCitation": meta("published_in"), f"{RDFS}comment": meta("comment")}
+    web = {f"{DCTERMS}source": meta("published_in_url"), f"{voc}facsimileUrl": meta("facsimile_url"), f"{voc}iiifManifest": meta("iiif_manifest"), f"{voc}iiifCanvas": meta("iiif_canvas")}
+    return _exploded(letters, *[_one(uri, p, o) for p, o in text.items()], *[_one(uri, p, o, "uri") for p, o in web.items()], _one(uri, f"{voc}hasFulltext", F.col("has_fulltext"), "literal", f"{XSD}boolean"))
+
+
 def ntriples(triples: DataFrame) -> DataFrame:
     """K6: distinct triples as N-Triples lines."""
     node = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
@@ -173,26 +242,98 @@ def write_ntriples(triples: DataFrame, path: str, mode: str = "overwrite") -> in
     return there
 
 
-def cmif(letters: DataFrame) -> DataFrame:
-    """(id, value): each letter as correspondence metadata in XML."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    tag = lambda name, c, attr: F.when(S.blank_to_null(c).isNotNull(), F.concat(F.lit(f'<{name} {attr}="'), esc(c), F.lit('"/>'))).otherwise(F.lit(""))
-    sent = F.concat(F.lit('<correspAction type="sent">'), tag("persName", F.col("sender"), "ref"), tag("placeName", F.col("place"), "ref"), tag("date", F.col("date"), "when"), F.lit("</correspAction>"))
-    received = F.concat(F.lit('<correspAction type="received">'), tag("persName", F.col("recipient"), "ref"), F.lit("</correspAction>"))
-    return letters.select("id", F.concat(F.lit('<correspDesc key="'), esc(F.col("id").cast("string")), F.lit('">'), sent, received, F.lit("</correspDesc>")).alias("value"))
+def xml_text(c: Column) -> Column:
+    """Text as it stands in an element or attribute."""
+    return reduce(lambda x, y: F.replace(x, F.lit(y[0]), F.lit(y[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")], F.coalesce(c.cast("string"), F.lit("")))
+
+
+def element(name: str, attributes: dict[str, Column], text: Column | None = None) -> Column:
+    """An element with the attributes that are filled; empty without text."""
+    parts = [F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f' {a}="'), xml_text(c), F.lit('"'))).otherwise(F.lit("")) for a, c in attributes.items()]
+    head = F.concat(F.lit(f"<{name}"), *parts)
+    return F.concat(head, F.lit("/>")) if text is None else F.concat(head, F.lit(">"), xml_text(text), F.lit(f"</{name}>"))
+
+
+def cmif(letters: DataFrame, persons: DataFrame, places: DataFrame, base: str = "https://example.org/") -> DataFrame:
+    """K7: (id, value): each letter (id, sender, recipient, place, date) as correspondence metadata.
+
+    Persons and places are named where the register has them; a person's authority record if persons have ``gnd``.
+    """
+    gnd = F.col("gnd") if "gnd" in persons.columns else F.lit(None).cast("string")
+    person = lambda role: persons.select(F.col("id").alias(role), F.struct(F.lit(True).alias("there"), "label", gnd.alias("gnd")).alias(f"{role}_entry"))
+    place = places.select(F.col("id").alias("place"), F.struct(F.lit(True).alias("there"), "label").alias("place_entry"))
+    rows = letters.join(person("sender"), "sender", "left").join(person("recipient"), "recipient", "left").join(place, "place", "left")
+    named = lambda name, role: F.when(F.col(f"{role}_entry.there"), element(name, {"key": F.col(role), **({"ref": F.col(f"{role}_entry.gnd")} if name == "persName" else {})}, F.col(f"{role}_entry.label"))).otherwise(F.lit(""))
+    date = F.when(S.blank_to_null(F.col("date")).isNotNull(), element("date", {"when": F.col("date")}, F.col("date"))).otherwise(F.lit(""))
+    sent = F.concat(F.lit('<correspAction type="sent">'), named("persName", "sender"), named("placeName", "place"), date, F.lit("</correspAction>"))
+    received = F.when(S.blank_to_null(F.col("recipient")).isNotNull(), F.concat(F.lit('<correspAction type="received">'), named("persName", "recipient"), F.lit("</correspAction>"))).otherwise(F.lit(""))
+    key = F.col("id").cast("string")
+    return rows.select("id", F.concat(F.lit('<correspDesc key="'), xml_text(key), F.lit('" ref="'), xml_text(F.concat(F.lit(f"{base}letter/"), key)), F.lit('">'), sent, received, F.lit("</correspDesc>")).alias("value"))
+
+
+def document(entries: DataFrame, head: str, tail: str) -> DataFrame:
+    """(part, id, value) in order: what stands before the entries (id, value), these by id, and what stands after."""
+    one = lambda part, text: entries.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit(None).cast(entries.schema["id"].dataType).alias("id"), F.lit(text).alias("value"))
+    return one(0, head).unionByName(entries.select(F.lit(1).alias("part"), "id", "value")).unionByName(one(2, tail)).orderBy("part", "id")
+
+
+def cmif_document(entries: DataFrame, title: str) -> DataFrame:
+    """K7: the whole document.  Written with ``write_lines``, its files one after the other are the XML file."""
+    escaped = title.replace("&", "&amp;").replace("<", "&lt;")
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>{escaped}</title></titleStmt></fileDesc><profileDesc>'
+    return document(entries, head, "</profileDesc></teiHeader></TEI>")
+
+
+def register_entries(rows: DataFrame, folder: str, notes: list[str], status: str = "in_register") -> DataFrame:
+    """(id, value): rows of a register table as register entries.
+
+    rows (id, sender_id, sender, recipient_id, recipient, place_id, place, date, and the notes); authority links are
+    read from ``sender_ref``, ``recipient_ref``, ``place_ref`` and ``place_geo`` where the table has them.
+    """
+    there = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    person = lambda role: element("persName", {"key": F.col(f"{role}_id"), "ref": there(f"{role}_ref")}, S.split_camel(F.coalesce(F.col(role), F.lit(""))))
+    place = element("placeName", {"key": F.col("place_id"), "ref": there("place_ref"), "ana": there("place_geo")}, F.col("place"))
+    date = F.when(S.blank_to_null(F.col("date")).isNotNull(), element("date", {"when": F.col("date")}, F.col("date"))).otherwise(F.lit(""))
+    target = {"published_in": there("published_in_url"), "url_facsimile": there("url_facsimile")}
+    listed = [element("note", {"type": F.lit(n), **({"target": target[n]} if n in target else {})}, F.col(n)) for n in notes]
+    key = F.col("id").cast("string")
+    head = F.concat(F.lit('<correspDesc key="'), xml_text(key), F.lit('" ref="'), xml_text(F.concat(F.lit(folder), key, F.lit(".xml"))), F.lit(f'" change="{status}">'))
+    return rows.select("id", F.concat(head, F.lit('<correspAction type="sent">'), person("sender"), place, date, F.lit('</correspAction><correspAction type="received">'), person("recipient"), F.lit("</correspAction>"), *listed, F.lit("</correspDesc>")).alias("value"))
 
 
 def rag_json(letters: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(id, value): each letter with its mentions as JSON for retrieval."""
-    by = mentions.groupBy("letter_id").agg(F.array_sort(F.collect_set("entity_id")).alias("mentions"))
+    """(id, value): each letter as JSON for retrieval: where it is kept and printed, who wrote to whom and when, what it
+    mentions by kind, and its texts.
+
+    letters has id, sender, recipient, date and any of signature, printed, original, normalized, translated; mentions
+    (letter_id, kind, label).  Fields that are null are left out.
+    """
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("label")))).alias(kind)
+    # Kinds of mentions, in the record's order.
+    kinds = ("places", "persons", "literature")
+    by = mentions.groupBy("letter_id").agg(F.struct(*[of(k) for k in kinds]).alias("mentioned"))
+    none = F.struct(*[F.expr("cast(array() as array<string>)").alias(k) for k in kinds])
     joined = letters.join(by, letters.id == by.letter_id, "left")
-    return joined.select("id", F.to_json(F.struct("id", "sender", "recipient", "date", F.coalesce("mentions", F.expr("cast(array() as array<string>)")).alias("mentions"))).alias("value"))
+    texts = [c for c in ("original", "normalized", "translated") if c in letters.columns]
+    kept = [c for c in ("signature", "printed") if c in letters.columns]
+    return joined.select("id", F.to_json(F.struct("id", *kept, "sender", "recipient", "date", F.coalesce("mentioned", none).alias("mentioned"), *texts)).alias("value"))
+
+
+#: Characters that a prompt has room for.
+PROMPT = 1 << 20
 
 
-def lookup_string(entities: DataFrame, sep: str = "|") -> DataFrame:
-    """One text ``id;name|id;name`` in order of id, for a register that fits into one prompt."""
-    records = F.array_sort(F.collect_list(F.struct("id", S.norm_ws(F.col("label")).alias("label"))))
-    return entities.agg(F.array_join(F.transform(records, lambda x: F.concat_ws(";", x["id"], x["label"])), sep).alias("value"))
+def lookup_string(entities: DataFrame, sep: str = "|", room: int = PROMPT) -> DataFrame:
+    """(part, value): texts ``id;name|id;name`` in order of id, each of about ``room`` characters at most.
+
+    A register that fits into one prompt is one row; a larger one is dealt by range of id to as many parts as it needs.
+    """
+    rows = entities.select("id", F.concat_ws(";", "id", S.norm_ws(F.col("label"))).alias("record"))
+    size = rows.agg(F.coalesce(F.sum(F.length("record") + len(sep)), F.lit(0))).first()[0]
+    parts = max(1, -(-size // room))
+    dealt = rows.withColumn("part", F.lit(0)) if parts == 1 else rows.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id())
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "record"))), lambda x: x["record"]), sep)
+    return dealt.groupBy("part").agg(joined.alias("value"))
 
 
 def filled_template(rows: DataFrame, template: str, fields: list[str]) -> DataFrame:

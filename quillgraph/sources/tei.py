@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillgraph.functions import scalars as S
+from quillgraph.operators.integrity import stray_keys
 from quillgraph.sources import schemas as M
 
 TEI = "{http://www.tei-c.org/ns/1.0}"
@@ -95,13 +96,7 @@ def place_rows(root: ET.Element) -> Iterator[dict]:
         if not el.get(XML_ID):
             continue
         name, geo = child(el, "placeName"), child(el, "location", "geo")
-        coords = None
-        if geo is not None and geo.text and "," in geo.text:
-            lat, _, lon = geo.text.strip().partition(",")
-            try:
-                coords = {"lat": float(lat), "lon": float(lon)}
-            except ValueError:
-                coords = None
+        coords = coordinates(geo.text) if geo is not None and geo.text and "," in geo.text else None
         yield {"id": el.get(XML_ID), "label": all_text(name), "normdaten": authority(name.get("ref") if name is not None else None), "coords": coords, "desc": all_text(child(el, "desc")) or None}
 
 
@@ -179,6 +174,57 @@ def letter_row(root: ET.Element, letter_id: str, witness_prefix: str) -> dict:
     return {"id": letter_id, "sent": action(desc, "sent"), "received": action(desc, "received"), "mentions": mentions(desc, witness_prefix), "text": text, "incipit": text[:200] if text else None, "statuses": changes, "source": source.get("type") if source is not None else None, "rs_keys": keys}
 
 
+def is_web(value: str | None) -> bool:
+    return (value or "").strip().startswith(("http://", "https://"))
+
+
+NOTE = "category string, id string, value string"
+
+
+def register_notes(root: ET.Element, path: str) -> Iterator[dict]:
+    """what reading a register drops: entries without an id, references and notes that are no web address, coordinates that can't be read."""
+    note = lambda category, key, value: {"category": category, "id": key, "value": value}
+    name = path.rpartition("/")[2]
+    wrong = lambda v: bool((v or "").strip()) and not is_web(v)
+    for el in root.iter():
+        kind, key = el.tag.removeprefix(TEI), el.get(XML_ID)
+        if kind in ("person", "personGrp"):
+            if not key:
+                yield note("persons-missing-id", None, name)
+                continue
+            for value in (el.get("ref"), *((r.get("target") or all_text(r)) for r in children(el, "ref"))):
+                if wrong(value):
+                    yield note("invalid-url-ref", key, value)
+        elif kind == "place":
+            if not key:
+                yield note("places-missing-id", None, name)
+                continue
+            label, geo = child(el, "placeName"), child(el, "location", "geo")
+            if label is not None and wrong(label.get("ref")):
+                yield note("invalid-url-ref", key, label.get("ref"))
+            if geo is not None and geo.text and "," in geo.text and coordinates(geo.text) is None:
+                yield note("places-bad-geo", key, geo.text.strip())
+        elif kind == "correspDesc":
+            if not el.get("key"):
+                yield note("register-missing-key", None, name)
+                continue
+            notes = {n.get("type"): n for n in children(el, "note") if n.get("type")}
+            values = {t: all_text(notes.get(t)) for t in M.URL_NOTES}
+            published = notes.get("published_in")
+            values["published_in_url"] = published.get("target") if published is not None else None
+            for field, value in values.items():
+                if wrong(value):
+                    yield note("invalid-url-note", el.get("key"), f"{field} ({value})")
+
+
+def coordinates(text: str) -> dict[str, float] | None:
+    lat, _, lon = text.strip().partition(",")
+    try:
+        return {"lat": float(lat), "lon": float(lon)}
+    except ValueError:
+        return None
+
+
 def parsed(files: DataFrame, rows: Callable[[ET.Element, str], Iterator[dict]], ddl: str) -> DataFrame:
     """Rows of each file (path, content).  A file that is no XML gives none (S22); ``unreadable`` names those."""
     kind = M.schema(ddl)
@@ -249,6 +295,26 @@ class Edition:
         every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
         return every.groupBy("id").agg(F.max_by(F.struct("label", "kind"), "n").alias("e")).select("id", "e.label", "e.kind")
 
+    def notes(self) -> DataFrame:
+        """(category, id, value) of what reading registers and letters has dropped or found missing."""
+        registers = files(self.spark, f"{self.folder}/data/register", f"{self.corpus}-{{letters,persons,places}}.xml")
+        letters = self.parsed_letters()
+        empty = letters.where("coalesce(text, '') = ''").select(F.lit("empty-fulltext").alias("category"), "id", F.concat("id", F.lit(".xml")).alias("value"))
+        marked = letters.select("id", S.last_status(F.col("statuses")).alias("status"), "rs_keys", F.flatten(F.array(*[F.col(f"mentions.{k}") for k in ("persons", "places", "works", "witnesses")])).alias("mentioned"))
+        stray = stray_keys(marked).select(F.lit("rs-key-mismatch").alias("category"), "id", F.array_join("stray", ", ").alias("value"))
+        return parsed(registers, register_notes, NOTE).unionByName(empty).unionByName(stray)
+
+    def bank(self) -> DataFrame:
+        """(entity, kind, label, ref, idno) of what mentions are linked with: persons (without groups), places, and works by author and title; without a label, the id stands in."""
+        none = F.lit(None).cast("string")
+        ref = F.coalesce("normdaten.gnd", "normdaten.wikidata", "normdaten.other")
+        persons = self.persons().where("kind = 'person'").select(F.col("id").alias("entity"), F.lit("person").alias("kind"), F.col("label"), ref.alias("ref"), none.alias("idno"))
+        places = self.places().select(F.col("id").alias("entity"), F.lit("place").alias("kind"), F.col("label"), ref.alias("ref"), none.alias("idno"))
+        title = F.trim(F.concat_ws(" ", F.col("author.label"), F.col("label")))
+        works = self.works().select(F.col("id").alias("entity"), F.lit("bibl").alias("kind"), title.alias("label"), none.alias("ref"), F.array_join(F.transform("idno", lambda i: i["value"]), " ").alias("idno"))
+        every = persons.unionByName(places).unionByName(works)
+        return every.withColumn("label", S.first_filled(F.col("label"), F.col("entity")))
+
     def letter_files(self) -> DataFrame:
         """(path, content, id) of letter files; those called old are left out."""
         found = files(self.spark, f"{self.folder}/data/letters", f"{self.corpus}-letter-*.xml")

@@ -72,11 +72,7 @@ def candidate_titles(rows: DataFrame, key: str = "work_id", preferred: str = "hs
     return by.select(key, titles.alias("titles"), years.alias("years"))
 
 
-def vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Stored passage vectors."""
-    return spark.read.parquet(path)
-
-
-def unwound_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    """Elements of an XML file as rows, with Spark's XML source."""
-    return spark.read.schema(schema).option("rowTag", row_tag).format("xml").load(path)
+def unwound_xml(spark: SparkSession, path: str, row_tag: str, schema: str, children: str) -> DataFrame:
+    """Elements of an XML file as rows, one for each of their ``children``; an element without any is one row."""
+    rows = spark.read.schema(schema).option("rowTag", row_tag).format("xml").load(path)
+    return rows.withColumn(children, F.explode_outer(children))

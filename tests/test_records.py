@@ -12,16 +12,16 @@ D = "/root/testdata/sf0.001"
 def test_properties(spark):
     persons = spark.createDataFrame([("p1", "person", "O'Neil", "historical", None, False, (None, "w", None), [], ["a", "b"], "1790", None)], M.PERSON)
     p = R.with_properties(persons, R.person_properties()).first()
-    assert p.corporateBody is False and p.occupation is None and p.education == ["a", "b"] and p.wikidata == "w"
+    assert p.corporate_body is False and p.occupation is None and p.education == ["a", "b"] and p.wikidata == "w"
     line = sinks.node_statements(persons, "Person", R.person_properties()).first().statement
-    assert line == "MERGE (n:Person {id: 'p1'}) SET n.label = 'O\\'Neil', n.kind = 'person', n.personType = 'historical', n.corporateBody = false, n.wikidata = 'w', n.education = ['a', 'b'], n.birth = '1790'"
+    assert line == "MERGE (n:Person {id: 'p1'}) SET n.label = 'O\\'Neil', n.kind = 'person', n.person_type = 'historical', n.corporate_body = false, n.wikidata = 'w', n.education = ['a', 'b'], n.birth = '1790'"
     witness = spark.createDataFrame([("w1", "manuscript", "x", None, None, "Hs. 1", None)], M.WITNESS)
     assert R.with_properties(witness, R.witness_properties()).first().label == "Hs. 1"
     place = spark.createDataFrame([("o1", "Ort", (None, None, None), (47.5, 9.2), None)], M.PLACE)
     assert R.with_properties(place, R.place_properties()).first().lat == 47.5
     work = spark.createDataFrame([("l1", "W", "charter", None, None, None, None, [("a", "1")])], M.WORK)
     w = R.with_properties(work, R.work_properties()).first()
-    assert w.isExemplar and w.idno == ["a:1"]
+    assert w.is_exemplar and w.idno == ["a:1"]
 
 
 def test_flattened(spark):

@@ -56,6 +56,54 @@ def test_matching(spark):
     assert got == {"m1": ("p1", "fuzzy"), "m2": (None, "none")}
 
 
+def test_linking_against_all_pairs(spark):
+    """Edits anywhere in a name, common words, empty texts: best entries and their order are those of comparing everything."""
+    import random
+
+    from quillgraph.functions.similarity import token_set_ratio
+
+    rng = random.Random(19)
+    names = ["Kirchenmusikdirektor", "Schwartzenberger", "von Berg", "Anna von Berg", "Berg", "von der Tann", "Tann", "Uhland", "Ludwig Uhland", "Laura"] + ["".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(3, 12))) + " von " + "".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(3, 12))) for _ in range(60)]
+
+    def changed(name):
+        letters = list(name)
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(letters))
+            letters[i : i + 1] = rng.choice([[], [rng.choice("xyz")], [letters[i], "x"]])
+        return "".join(letters)
+
+    said = ["Xirchenmusikdirektor", "Shwartzenberger", "", "von", *(changed(rng.choice(names)) for _ in range(60))]
+    bank = [(f"e{i:03d}", name, "person" if i % 3 else "work") for i, name in enumerate(names)]
+    mentions = [(i, text, "person" if i % 2 else "work") for i, text in enumerate(said)]
+    one = spark.createDataFrame(mentions, "mention int, text string, kind string")
+    two = spark.createDataFrame(bank, "entity string, label string, kind string")
+    clean = {r.t: r.n for r in spark.createDataFrame([(x,) for x in {*said, *names}], "t string").select("t", matching.linker_text(F.col("t")).alias("n")).collect()}
+    for block in (2000, 9):
+        matching.BLOCK, before = block, matching.BLOCK
+        try:
+            got = {r.mention: r for r in matching.fuzzy_link(one, two).collect()}
+        finally:
+            matching.BLOCK = before
+        for i, text, kind in mentions:
+            every = sorted((-token_set_ratio(clean[text], clean[name]), e) for e, name, k in bank if k == kind)
+            assert [(c.entity, c.score) for c in got[i].candidates] == [(e, -s) for s, e in every[:8]]
+            assert (got[i].entity, got[i].method) == ((every[0][1], "fuzzy") if every[0][0] <= -92 else (None, "none"))
+    assert got[1].method == "fuzzy" and got[1].entity == "e001"
+
+
+def test_neighbors_in_blocks(spark):
+    vectors = retrieval.letter_vectors(Corpus(spark, D).chunks)
+    want = sorted(map(tuple, retrieval.top_neighbors(vectors).collect()))
+    assert want == sorted(map(tuple, retrieval.top_neighbors(vectors, block=7).collect())) and len(want) == 5 * vectors.count()
+
+
+def test_labels_that_contain(spark):
+    texts_ = spark.createDataFrame([("Berg",), ("erg",), ("von  b",), ("",), ("zz",)], "text string")
+    labels = spark.createDataFrame([("p2", "Anna von Berg"), ("p1", "Herberg"), ("p3", "")], "id string, label string")
+    assert {r.text: r.entity for r in matching.name_contains(texts_, labels).collect()} == {"Berg": "p1", "erg": "p1", "von  b": "p2", "": None, "zz": None}
+    assert {r.text: r.entity for r in matching.name_contains(texts_, labels, whole_words=True).collect()} == {"Berg": "p2", "erg": None, "von  b": None, "": "p3", "zz": None}
+
+
 def test_register(spark):
     d = spark.createDataFrame([(1, "done_A", 3), (2, "b", None), (3, None, 1)], "id int, title string, pages int")
     assert [r.id for r in register.select_documents(d, "done_").orderBy("id").collect()] == [2, 3]
@@ -101,8 +149,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "g/edges")).where("type = 'SENT_BY'").count() == c.letters.count()
     sinks.write_json(sinks.letters_index(c.letters, c.persons), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == c.letters.count()
-    assert sinks.rag_json(c.letters, c.mentions).count() == c.letters.count()
+    assert sinks.rag_json(c.letters, c.mentions.select("letter_id", F.lit("literature").alias("kind"), F.col("entity_id").alias("label"))).count() == c.letters.count()
     assert sinks.lookup_string(c.persons).first().value.count("|") == 24
+    parts = sorted(sinks.lookup_string(c.persons, room=100).collect())
+    assert len(parts) > 2 and all(len(r.value) <= 250 for r in parts)
+    assert "|".join(r.value for r in parts) == sinks.lookup_string(c.persons).first().value
     assert sinks.filled_template(spark.range(1).select(F.lit("x").alias("a"), F.lit(None).cast("string").alias("b")), "<{a}{b}>", ["a", "b"]).first().value == "<x>"
 
 
@@ -130,6 +181,15 @@ def test_patterns(spark):
     assert patterns.read_only("MATCH (n {x: 'set'}) RETURN n")
 
 
+def test_cypher_that_is_not_understood(spark):
+    box = tools.Toolbox(Corpus(spark, D))
+    for text in ("MATCH (a)-[r]->(b) WHERE a.id = 'x' OR b.id = 'y' RETURN a", "MATCH (a) WHERE c.id = 'x' RETURN a", "MATCH (a) RETURN type(a)", "MATCH (a) RETURN labels(z)", "MATCH (a {id: y}) RETURN a", "MATCH (a) WHERE a.id RETURN a"):
+        with pytest.raises(ValueError):
+            patterns.cypher(box.nodes(), box.edges(), text)
+    got = patterns.cypher(box.nodes(), box.edges(), "MATCH (p:Person) WHERE p.label CONTAINS 'NATION_1' AND p.label <> 'NATION_12' RETURN p.label AS name, labels(p) ORDER BY name DESC LIMIT 3").collect()
+    assert [(r.name, r.labels_p) for r in got] == [("NATION_19", ["Person"]), ("NATION_18", ["Person"]), ("NATION_17", ["Person"])]
+
+
 def test_tools(spark):
     box = tools.Toolbox(Corpus(spark, D))
     assert box.call("lookup_entity", {"name": "nation_6"}).first().id == "person-6"
