@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but the last return the columns
-of ``documents``; the last returns the packing plan.  Each stage calls one operator of ``quillgraph.llm``, whose module
-says how it treats nulls, empty texts, repeated rows and empty tables.
+of ``documents``; the last returns the packing plan, whose token positions count the words of the documents that it was
+given.  ``run_all`` gives these documents and the plan; ``packing.sequences`` fetches the tokens.  Each stage calls one
+operator of ``quillgraph.llm``, whose module says how it treats nulls, empty texts, repeated rows and empty tables.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
+    """The document with the smallest id of each class whose five-word shingles are alike to 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -46,13 +47,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Language scores, fingerprints, chains and packing are no SQL; tests hold the stages against brute force.
+#: Language scores, fingerprints, chains and packing are no SQL; tests hold the whole against plain code.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+def run_all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All stages over the table of documents: the documents that are packed (a written table), and the plan."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs, STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan that all stages over the table of documents give."""
+    return run_all(spark, sf_dir)[1]
