@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quillgraph.llm import language_id as L
@@ -65,3 +67,58 @@ def test_rare_languages_keep_their_words_and_grams(docs):
     assert model.predict("zzyzx", {})[0] == "xx"
     dropped = set("der hund und die katze sind in dem haus".split()) - set(model.words)
     assert dropped and all(g in model.grams[3] for w in dropped for g in L.grams(w, 3))  # n-grams are of all words
+
+
+def plain_model(train, text, langs):
+    """Language and posterior by the rule itself, from counts in plain dictionaries."""
+    from collections import Counter
+    from math import exp, log
+
+    words = {lang: Counter(w for _, t, x in train if x == lang for w in L.words_of(t)) for lang in langs}
+    known = set().union(*words.values())
+    pieces = {n: {lang: Counter(g for w, c in words[lang].items() for g in L.grams(w, n) for _ in range(c)) for lang in langs} for n in range(1, 6)}
+    share = lambda counts, of, x: log((counts[x] + 0.5) / (sum(counts.values()) + 0.5 * max(1, of)))
+    total = dict.fromkeys(langs, 0.0)
+    for word in L.words_of(text):
+        if word in known:
+            for lang in langs:
+                total[lang] += share(words[lang], len(known), word)
+            continue
+        for n in range(5, 0, -1):
+            every = set().union(*pieces[n].values())
+            if found := [g for g in L.grams(word, n) if g in every]:
+                for lang in langs:
+                    total[lang] += sum(share(pieces[n][lang], len(every), g) for g in found) / len(found)
+                break
+    top = max(total.values())
+    p = {lang: exp(v - top) for lang, v in total.items()}
+    best = max(langs, key=lambda lang: p[lang])
+    return best, p[best] / sum(p.values())
+
+
+def test_predictions_against_plain_scoring(docs):
+    rng = random.Random(8)
+    letters = {"aa": "abcdeou", "bb": "abxyzui", "cc": "mnoprsa"}
+    speak = lambda lang, n: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    train = [(i, speak(lang, 30), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 6)]
+    model = L.fit(docs(train))
+    rows = [(i, " ".join([speak(rng.choice(["aa", "bb", "cc"]), rng.randint(0, 3)) + " " + " ".join(rng.choice(train)[1].split()[: rng.randint(0, 3)]) for _ in range(2)])) for i in range(80)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs(rows), model).collect()}
+    for i, text in rows:
+        if L.words_of(text):
+            lang, score = plain_model(train, text, ["aa", "bb", "cc"])
+            assert got[i][0] == lang and abs(got[i][1] - score) < 1e-3
+        else:
+            assert got[i] == ("und", 0.0)
+
+
+def test_a_hundred_languages_of_very_different_size(docs):
+    rng = random.Random(9)
+    train = []
+    for k in range(100):
+        own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(4000 if k == 0 else 30)]
+        train += [(1000 * k + j, " ".join(own[j * 30 : j * 30 + 30]), f"l{k:03d}") for j in range(len(own) // 30)]
+    model = L.fit(docs(train), max_words=3000)
+    assert len(model.langs) == 100
+    right = sum(model.predict(t, {})[0] == lang for _, t, lang in train if lang != "l000")
+    assert right == 99

@@ -150,3 +150,17 @@ def test_placement(docs, spark):
     assert all(["x", "y", "z"][owner[r.slot]] == r.shard for r in got)
     assert len({r.shard for r in got if r.doc_id == 3}) == 1
     assert H.place(rows, ["x"], slots=101).count() == 502 and H.place(docs([]), ["x"], slots=101).count() == 0
+
+
+def test_places_by_a_second_hash(docs, spark):
+    """Slots by another implementation of the hash, owners by the plain way of filling."""
+    import xxhash
+
+    shards = [f"shard-{i}" for i in range(5)]
+    owner = plain_fill(shards, 211)
+    keys = [*range(300), None, -7, 2**62]
+    got = H.place(docs([(k, "x") for k in keys]), shards, slots=211).collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for r in got:
+        slot = signed(xxhash.xxh64_intdigest(b"" if r.doc_id is None else str(r.doc_id).encode(), 42)) % 211
+        assert (r.slot, r.shard) == (slot, owner[slot])
