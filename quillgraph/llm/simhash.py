@@ -3,12 +3,12 @@
 A text's fingerprint is the bitwise majority of the XXH64 (seed 42) of its word shingles.  Equal fingerprints collapse
 to one row first, by an aggregate that combines before the shuffle, so thousands of copies cost one trie leaf.
 
-The distinct fingerprints form a binary trie.  Its top is cut, by a bounded histogram of 16-bit prefixes, into nodes of
-bounded size; the cut trie is traversed against itself, node pair by node pair, adding up the bits in which the two
-paths differ and pruning a pair beyond the budget.  A surviving pair of cut nodes is one piece of work: the fingerprints
-of both meet in one task, which continues the same traversal down to single fingerprints.  A task returns a spanning
-forest of the links that it finds, never all pairs of a group.  Components come from alternating large-star and
-small-star rounds over those links, each round written to the shared folder.
+The distinct fingerprints form a binary trie, which is joined with itself: pairs of nodes are traversed together, adding up
+the bits in which their paths differ, and a pair beyond the budget is pruned with all below it.  Many fingerprints are dealt
+to several tries: two that differ in two bits agree in one of three thirds of their bits, so each third has a trie for every
+value of its first bits, as many as keep a trie small.  A fingerprint is in three tries, however many there are, and nothing
+about them is gathered.  A trie gives a spanning forest of the links that it finds, never all pairs of a group.  Components
+come from alternating large-star and small-star rounds over those links, each round written to the shared folder.
 
 Similar documents (``similar_documents``).  Two texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 differ
 in about 15 % of a fingerprint's bits, a budget that prunes nothing in a trie of 64 bits.  There a fingerprint has 384
@@ -38,7 +38,8 @@ from quillgraph.llm.common import ascii_lower_words, blocks_of, columns, files_f
 from quillgraph.llm.substring_dedup import mixed, word_hashes
 
 SEED = 42
-TOP_BITS = 16
+#: Fingerprints that one trie holds; of more each third of the bits has several tries.
+NODE_SIZE = 16_384
 #: Pairs of trie nodes that are expanded at a time; a task holds a few such blocks for each level that it is down.
 FRONTIER = 16_384
 #: Nodes with so few fingerprints are compared directly.
@@ -89,45 +90,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
 
 
-def cut_trie(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
-    """Nodes (depth, prefix) that cover all prefixes of TOP_BITS bits in ``counts``; each holds ``most`` at most, or is a full prefix."""
-    nodes, todo = [], [(0, 0, sorted(counts.items()))]
-    while todo:
-        depth, prefix, inside = todo.pop()
-        if not inside:
-            continue
-        if depth == TOP_BITS or sum(n for _, n in inside) <= most:
-            nodes.append((depth, prefix))
-            continue
-        bit = TOP_BITS - depth - 1
-        for b in (1, 0):
-            todo.append((depth + 1, prefix << 1 | b, [x for x in inside if x[0] >> bit & 1 == b]))
-    return nodes
-
-
-def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of cut nodes whose paths differ in ``budget`` bits at most, by traversing the cut trie against itself."""
-    leaf = {node: i for i, node in enumerate(nodes)}
-    inner = {(d, p >> (depth - d)) for depth, p in nodes for d in range(depth)}
-    found, todo = [], [((0, 0), (0, 0), 0)]
-    while todo:
-        a, b, differ = todo.pop()
-        if a in leaf and b in leaf:
-            found.append((min(leaf[a], leaf[b]), max(leaf[a], leaf[b])))
-            continue
-        below = [[(n[0] + 1, n[1] << 1 | x) for x in (0, 1)] if n in inner else [n] for n in (a, b)]
-        for x in below[0]:
-            for y in below[1]:
-                if all(n in leaf or n in inner for n in (x, y)) and (a != b or x <= y):
-                    more = differ + (x[0] == y[0] == a[0] + 1 == b[0] + 1 and x[1] & 1 != y[1] & 1)
-                    if x[0] != y[0]:  # one path ends above the other: compare the shared part
-                        d = min(x[0], y[0])
-                        more = ((x[1] >> (x[0] - d)) ^ (y[1] >> (y[0] - d))).bit_count()
-                    if more <= budget:
-                        todo.append((x, y, more))
-    return sorted(set(found))
-
-
 class Forest:
     """Union-find over positions 0 to n - 1; the smallest position is the root."""
 
@@ -208,76 +170,68 @@ def near_pairs(own: np.ndarray, other: np.ndarray, budget: int, labels: Callable
         todo += [(level + 1, below[i : i + frontier]) for i in range(0, len(below), frontier)]
 
 
-def links(distinct: DataFrame, budget: int = 2, node_size: int = 8192) -> DataFrame:
-    """A spanning set of links (a, b) between distinct fingerprints (column fp) that differ in ``budget`` bits at most."""
-    spark = distinct.sparkSession
-    top = distinct.groupBy(F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int").alias("p")).count().collect()  # 65,536 rows at most
-    counts = {p: n for p, n in top}
-    nodes = cut_trie(counts, max(node_size, sum(counts.values()) // 2048))
-    pairs = node_pairs(nodes, budget)
-    # for each 16-bit prefix: the nodes that it has to meet; node i is visited by the larger nodes of its pairs
-    sent: dict[int, list[int]] = {}
-    meets: dict[int, list[int]] = {}
-    for i, j in pairs:
-        meets.setdefault(j, []).append(i)
-    home = {}
-    for i, (depth, prefix) in enumerate(nodes):
-        for p in range(prefix << TOP_BITS - depth, (prefix + 1) << TOP_BITS - depth):
-            if p in counts:
-                home[p] = i
-    for p, j in home.items():
-        sent[p] = [i for i in meets.get(j, []) if ((p >> TOP_BITS - nodes[i][0]) ^ nodes[i][1]).bit_count() <= budget]
-    size = np.zeros((1 << TOP_BITS) + 1, np.int64)
-    for p, to in sent.items():
-        size[p + 1] = len(to)
-    at = np.cumsum(size)
-    targets = np.array([i for p in sorted(sent) for i in sent[p]], np.int32)
-    homes = np.full(1 << TOP_BITS, -1, np.int32)
-    for p, i in home.items():
-        homes[p] = i
-    held = spark.sparkContext.broadcast((at, targets, homes))  # bounded by the 65,536 prefixes
+def turned(value: np.ndarray, bits: int, by: int) -> np.ndarray:
+    """Numbers of ``bits`` bits, the first ``by`` of them moved to the end."""
+    if not by:
+        return value
+    return (value << np.uint64(by) | value >> np.uint64(bits - by)) & np.uint64((1 << bits) - 1)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, targets, homes = held.value
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            p = (fp.view(np.uint64) >> np.uint64(64 - TOP_BITS)).astype(np.int64)
-            times = at[p + 1] - at[p]
-            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            to = targets[np.repeat(at[p], times) + offset]
-            out = np.repeat(fp, times)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(out), pa.array(homes[np.repeat(p, times)] == to)], names=["node", "fp", "own"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by node; the fingerprints of one node and of those that visit it meet here."""
-        held_rows: list[pa.RecordBatch] = []
-
-        def solve(got: pa.Table) -> pa.RecordBatch:
-            fp = got.column("fp").to_numpy().view(np.uint64)
-            own = got.column("own").to_numpy(zero_copy_only=False)
-            every = np.unique(fp)
-            mine = np.unique(fp[own])
-            forest, where = Forest(len(every)), np.searchsorted(every, mine)
-            for i, j in near_pairs(mine, every, budget, lambda: (forest.up[where], forest.up)):
-                forest.union(where[i], j)
-            child = np.flatnonzero(forest.up != np.arange(len(every)))
-            return pa.RecordBatch.from_arrays([pa.array(every[child].view(np.int64)), pa.array(every[forest.up[child]].view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
-            for s, e in zip(cuts, cuts[1:]):
-                if held_rows and held_rows[-1].column(0)[0].as_py() != node[s]:
-                    yield solve(pa.Table.from_batches(held_rows).combine_chunks())
-                    held_rows = []
-                held_rows.append(batch.slice(s, e - s))
-        if held_rows:
-            yield solve(pa.Table.from_batches(held_rows).combine_chunks())
+def tries(n: int, bits: int, budget: int, most: int) -> tuple[int, list[int]]:
+    """For ``n`` numbers of ``bits`` bits: how many first bits tell the tries apart, and the turns that a number has one for.
 
-    dealt = distinct.select("fp").mapInArrow(deal, "node int, fp long, own boolean")
-    return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(join, "a long, b long").distinct()
+    Two numbers that differ in ``budget`` bits at most agree in one of ``budget`` + 1 equal parts.
+    """
+    part = bits // (budget + 1)
+    split = min(part, max(0, (n - 1) // most).bit_length())
+    return split, [i * part for i in range(budget + 1)] if split else [0]
+
+
+def joined(batches: Iterator[pa.RecordBatch], solve: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by their first column, the trie: those of one trie meet in ``solve``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        trie = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(trie)) + 1).tolist(), len(trie)]
+        for s, e in zip(cuts, cuts[1:]):
+            if held and held[-1].column(0)[0].as_py() != trie[s]:
+                yield solve(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield solve(pa.Table.from_batches(held).combine_chunks())
+
+
+def links(distinct: DataFrame, budget: int = 2, node_size: int = NODE_SIZE, n: int | None = None) -> DataFrame:
+    """A spanning set of links (a, b) between distinct fingerprints (column fp) that differ in ``budget`` bits at most.
+
+    A trie has about ``node_size`` fingerprints; ``n``: how many there are, counted if it isn't known.
+    """
+    split, turns = tries(distinct.count() if n is None else n, 64, budget, node_size)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for i, by in enumerate(turns):
+                v = turned(fp, 64, by)
+                trie = np.full(len(v), i << split, np.int64)
+                if split:
+                    trie |= (v >> np.uint64(64 - split)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(fp.view(np.int64)), pa.array(np.full(len(v), by, np.int32))], names=["trie", "fp", "by"])
+
+    def solve(got: pa.Table) -> pa.RecordBatch:
+        own = np.sort(turned(got.column("fp").to_numpy().view(np.uint64), 64, by := got.column("by")[0].as_py()))
+        forest = Forest(len(own))
+        for i, j in near_pairs(own, own, budget, lambda: (forest.up, forest.up), once=True):
+            forest.union(i, j)
+        child = np.flatnonzero(forest.up != np.arange(len(own)))
+        back = lambda x: pa.array(turned(x, 64, (64 - by) % 64).view(np.int64))
+        return pa.RecordBatch.from_arrays([back(own[child]), back(own[forest.up[child]])], names=["a", "b"])
+
+    dealt = distinct.select("fp").mapInArrow(deal, "trie long, fp long, by int")
+    return dealt.repartition("trie").sortWithinPartitions("trie").mapInArrow(lambda batches: joined(batches, solve), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, files: int | None = None, max_rounds: int = 60) -> DataFrame:
@@ -315,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     files = files_for(prints.count())
     reps = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "reps", files)
-    found = components(links(reps.select("fp"), budget), files)
+    found = components(links(reps.select("fp"), budget, n=reps.count()), files)
     rooted = reps.join(found, reps.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
@@ -376,55 +330,35 @@ def similar_links(reps: DataFrame, n: int, most: int) -> DataFrame:
     they agree in a third.  What an executor holds is one trie's rows.
     """
     bits = min(63, max(24, max(1, n).bit_length() + 8))
-    third = bits // 3
-    split = min(third, max(0, (n - 1) // TRIE_SIZE).bit_length())
-    turns = [0] if not split else [0, third, 2 * third]
-    full = np.uint64((1 << bits) - 1)
+    split, turns = tries(n, bits, PIECE_BUDGET, TRIE_SIZE)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
             for t in range(64 * WIDE // bits):
                 value = piece(wide, t * bits, bits)
-                for i, turn in enumerate(turns):
-                    v = (value << np.uint64(turn) | value >> np.uint64(bits - turn)) & full if turn else value
-                    trie = np.int64(t * 3 + i) << np.int64(split) | (v >> np.uint64(bits - split)).astype(np.int64)
+                for i, by in enumerate(turns):
+                    v = turned(value, bits, by)
+                    trie = np.int64(t * len(turns) + i) << np.int64(split) | (v >> np.uint64(bits - split)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(v.view(np.int64)), *batch.columns], names=["trie", "value", "least", "wide"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by (trie, value, least): those of one trie meet here."""
-        held: list[pa.RecordBatch] = []
-
-        def solve(got: pa.Table) -> pa.RecordBatch:
-            value, ids = got.column("value").to_numpy().view(np.uint64), got.column("least").to_numpy()
-            wide = np.frombuffer(b"".join(got.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
-            # equal pieces are told apart by their position, in bits that don't count; a very full trie counts fewer bits
-            counted = min(bits, 64 - len(value).bit_length())
-            own = value >> np.uint64(bits - counted) << np.uint64(64 - counted) | np.arange(len(value), dtype=np.uint64)
-            forest = Forest(len(own))
-            for i, j in near_pairs(own, own, PIECE_BUDGET, lambda: (forest.up, forest.up), counted, True, WIDE_FRONTIER):
-                other = i != j
-                i, j = i[other], j[other]
-                near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
-                forest.union(i[near], j[near])
-            child = np.flatnonzero(forest.up != np.arange(len(own)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[forest.up[child]])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            trie = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(trie)) + 1).tolist(), len(trie)]
-            for s, e in zip(cuts, cuts[1:]):
-                if held and held[-1].column(0)[0].as_py() != trie[s]:
-                    yield solve(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield solve(pa.Table.from_batches(held).combine_chunks())
+    def solve(got: pa.Table) -> pa.RecordBatch:
+        value, ids = got.column("value").to_numpy().view(np.uint64), got.column("least").to_numpy()
+        wide = np.frombuffer(b"".join(got.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+        # equal pieces are told apart by their position, in bits that don't count; a very full trie counts fewer bits
+        counted = min(bits, 64 - len(value).bit_length())
+        own = value >> np.uint64(bits - counted) << np.uint64(64 - counted) | np.arange(len(value), dtype=np.uint64)
+        forest = Forest(len(own))
+        for i, j in near_pairs(own, own, PIECE_BUDGET, lambda: (forest.up, forest.up), counted, True, WIDE_FRONTIER):
+            other = i != j
+            i, j = i[other], j[other]
+            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
+            forest.union(i[near], j[near])
+        child = np.flatnonzero(forest.up != np.arange(len(own)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[forest.up[child]])], names=["a", "b"])
 
     dealt = reps.select("least", "wide").mapInArrow(deal, "trie long, value long, least long, wide binary")
-    return dealt.repartition("trie").sortWithinPartitions("trie", "value", "least").mapInArrow(join, "a long, b long").distinct()
+    return dealt.repartition("trie").sortWithinPartitions("trie", "value", "least").mapInArrow(lambda batches: joined(batches, solve), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:

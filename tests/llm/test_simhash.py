@@ -69,17 +69,19 @@ def test_dense_group_is_linked_without_all_its_pairs():
     assert forest.up.tolist() == want.up.tolist() and pairs < len(every)
 
 
-@given(st.lists(st.integers(0, 2**16 - 1), min_size=1, max_size=60), st.integers(1, 10))
-@settings(max_examples=40, deadline=None)
-def test_cut_trie_pairs(prefixes, most):
-    counts = {p: prefixes.count(p) for p in prefixes}
-    nodes = S.cut_trie(counts, most)
-    pairs = set(S.node_pairs(nodes, 2))
-    for i, (d, p) in enumerate(nodes):
-        for j, (e, q) in enumerate(nodes):
-            m = min(d, e)
-            if i <= j:
-                assert ((i, j) in pairs) == (((p >> (d - m)) ^ (q >> (e - m))).bit_count() <= 2)
+def test_near_numbers_share_a_trie():
+    rng = random.Random(4)
+    for bits, budget in ((64, 2), (64, 4), (26, 2), (41, 3)):
+        split, turns = S.tries(10**6, bits, budget, 1000)
+        assert split and len(turns) == budget + 1 and S.tries(900, bits, budget, 1000) == (0, [0])
+        for _ in range(200):
+            a = rng.getrandbits(bits)
+            b = a
+            for _ in range(budget):
+                b ^= 1 << rng.randrange(bits)
+            both = np.array([a, b], np.uint64)
+            assert any((v := S.turned(both, bits, by) >> np.uint64(bits - split))[0] == v[1] for by in turns)
+            assert all((S.turned(S.turned(both, bits, by), bits, (bits - by) % bits) == both).all() for by in turns)
 
 
 def test_classes_against_brute_force(spark):
