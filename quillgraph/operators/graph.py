@@ -60,13 +60,22 @@ def neighbors(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 def shared_mentions(mentions: DataFrame, seeds: DataFrame | None = None, least: int = 2, letter: str = "letter_id", entity: str = "entity_id") -> DataFrame:
     """(letter, other, shared): entities that two letters both mention, from ``least`` on.
 
-    Mentions are distinct on both sides.  An entity that very many letters mention pairs all of them; with ``seeds``
-    (a column of letters) only the seeds' side is paired.
+    Mentions are distinct on both sides.  Without ``seeds`` each pair of letters is counted once and then given both
+    ways; with them (a column of letters) only the seeds' side is paired.  Letters with fewer than ``least`` mentions
+    pair with nothing and go first.  Counts combine before the shuffle, and adaptive
+    execution splits the join of an entity that very many letters mention; the pairs themselves are the result.
     """
     m = mentions.select(F.col(letter).alias("letter"), F.col(entity).alias("entity")).distinct()
-    own = m if seeds is None else m.join(seeds.select(F.col(seeds.columns[0]).alias("letter")).distinct(), "letter", "left_semi")
+    if least > 1:
+        m = m.withColumn("n", F.count("*").over(Window.partitionBy("letter"))).where(F.col("n") >= least).drop("n")
     other = m.select(F.col("letter").alias("other"), "entity")
-    return own.join(other, "entity").where("letter <> other").groupBy("letter", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    count = lambda pairs: pairs.groupBy("letter", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    if seeds is not None:
+        own = m.join(seeds.select(F.col(seeds.columns[0]).alias("letter")).distinct(), "letter", "left_semi")
+        return count(own.join(other, "entity").where("letter <> other"))
+    once = count(m.join(other, "entity").where("letter < other"))
+    both = F.explode(F.array(F.struct("letter", "other", "shared"), F.struct(F.col("other").alias("letter"), F.col("letter").alias("other"), "shared")))
+    return once.select(both.alias("p")).select("p.*")
 
 
 def correspondence_context(letters: DataFrame, seeds: DataFrame | None = None, days: int = 90, partial_dates: bool = False) -> DataFrame:
