@@ -51,7 +51,7 @@ TRIE_SIZE = 1 << 18
 #: Bytes of text that are hashed at a time, and texts whose bits are counted together.
 HASH_BYTES, HASH_TEXTS = 1 << 20, 2048
 #: Pairs of nodes that are expanded at a time in the large tries of pieces.
-WIDE_FRONTIER = 1 << 18
+WIDE_FRONTIER = 1 << 17
 #: The bits of each byte, the highest first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
