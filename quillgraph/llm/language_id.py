@@ -187,7 +187,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a posterior of at least ``min_score``, all columns kept.
+    """The rows of ``docs`` (with columns ``text`` and ``lang``) whose language is determined with a posterior of at least
+    ``min_score``, all columns kept.
 
     The bound is low on purpose: what has any evidence for a language stays, what has none goes.
     ``lang`` becomes the predicted language.

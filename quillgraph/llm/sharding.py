@@ -9,7 +9,8 @@ by one lookup of its key's hash, without a shuffle.
 Defined results
 * null keys hash like the empty string and are placed; repeated keys go to the same shard
 * an empty table gives an empty result; no shard is an error
-* only the key column is read; the result has it under its own name
+* keys of any length are hashed whole; only the key column is read, others may have any name; the result has the key under
+  its own name
 """
 
 from __future__ import annotations
@@ -64,4 +65,5 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFr
 def place(rows: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS) -> DataFrame:
     """(key, slot, shard) for every row."""
     at = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
-    return rows.select(F.col(key), at.alias("__slot")).join(F.broadcast(lookup(rows.sparkSession, shards, slots)), F.col("__slot") == F.col("slot")).select(key, "slot", "shard")
+    dealt = rows.select(F.col(key).alias("k"), at.alias("at"))
+    return dealt.join(F.broadcast(lookup(rows.sparkSession, shards, slots)), F.col("at") == F.col("slot")).select(F.col("k").alias(key), "slot", "shard")
