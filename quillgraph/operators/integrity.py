@@ -52,7 +52,7 @@ def register_warnings(notes: DataFrame) -> DataFrame:
         "invalid-url-ref": "entry %s: %s is no web address", "invalid-url-note": "letter %s: the note %s is no web address",
         "persons-missing-id": "%sa person or group without an id in %s", "places-missing-id": "%sa place without an id in %s",
         "places-bad-geo": "place %s: coordinates %s can't be read", "register-missing-key": "%sa register row without a key in %s",
-        "empty-fulltext": "letter %s: %s has no text", "rs-key-mismatch": "letter %s: keys in the text that its list lacks: %s",
+        "empty-fulltext": "letter %s: %s has no text", "rs-mentioned-mismatch": "letter %s: keys in the text that its list lacks: %s",
     }
     text = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in said.items():

@@ -301,7 +301,7 @@ class Edition:
         letters = self.parsed_letters()
         empty = letters.where("coalesce(text, '') = ''").select(F.lit("empty-fulltext").alias("category"), "id", F.concat("id", F.lit(".xml")).alias("value"))
         marked = letters.select("id", S.last_status(F.col("statuses")).alias("status"), "rs_keys", F.flatten(F.array(*[F.col(f"mentions.{k}") for k in ("persons", "places", "works", "witnesses")])).alias("mentioned"))
-        stray = stray_keys(marked).select(F.lit("rs-key-mismatch").alias("category"), "id", F.array_join("stray", ", ").alias("value"))
+        stray = stray_keys(marked).select(F.lit("rs-mentioned-mismatch").alias("category"), "id", F.array_join("stray", ", ").alias("value"))
         return parsed(registers, register_notes, NOTE).unionByName(empty).unionByName(stray)
 
     def bank(self) -> DataFrame:

@@ -161,7 +161,7 @@ def test_warnings(edition):
     found = integrity.warnings(letters, edition.persons(), edition.places(), refs, edition.entities()).unionByName(integrity.register_warnings(edition.notes()))
     assert {r.category: r.n for r in integrity.warning_counts(found).collect()} == {
         "dangling-person-ref": 1, "dangling-place-ref": 1, "missing-date": 2, "place-under-received": 1,  # 0503 to 0999 and from 09; undated, as 0505 by its file; 0502 has its place there
-        "persons-missing-id": 1, "places-missing-id": 1, "register-missing-key": 1, "invalid-url-ref": 3, "invalid-url-note": 2, "places-bad-geo": 1, "empty-fulltext": 1, "rs-key-mismatch": 1,
+        "persons-missing-id": 1, "places-missing-id": 1, "register-missing-key": 1, "invalid-url-ref": 3, "invalid-url-note": 2, "places-bad-geo": 1, "empty-fulltext": 1, "rs-mentioned-mismatch": 1,
     }
     assert [r.id for r in integrity.orphan_files(files, edition.register()).collect()] == ["hp-letter-0777"]
     facts = integrity.status_facts(edition.register().select("id", "publication_status", "scan", F.col("register_meta.facsimile_url").isNotNull().alias("has_url")), files.select("id", "statuses", "source"))
