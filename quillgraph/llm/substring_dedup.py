@@ -23,6 +23,11 @@ at one word's gain against four words' loss, of at least ``min_words`` words and
 The shingles' chains go first.  The links of long seeds whose words aren't all inside the passages then found are chained
 and aligned after them, so they cost little where the shingles have already found all there is.
 
+Runs.  A long seed's first occurrence may be in a document that has less than fifty words around it in common, while
+others have more.  Wherever fifty words around a long seed aren't all inside passages, every run of fifty words around any
+of its occurrences is linked to the run's own first occurrence.  Such a link is a passage as it stands, so every word of
+every run of fifty words that an earlier document has too is in a passage.
+
 A passage is always found in the document with the larger id; the first occurrence stays.
 
 Defined results
@@ -41,7 +46,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import blocks_of, gathered, written
@@ -58,6 +63,8 @@ MARGIN = 64
 SEED_WORTH, GAP_COST = 8.0, 0.1
 #: Words of a long seed, and neighbours of which one is: a run of LONG + LONG_NEIGHBOURS - 1 = 50 words has one.
 LONG, LONG_NEIGHBOURS = 40, 11
+#: Words of a run that has a long seed for certain.
+RUN = LONG + LONG_NEIGHBOURS - 1
 #: Words that the seeds of a chain must span at least to be aligned: a passage less what winnowing may leave out.
 MIN_SPAN = 20
 #: Gaps of more words aren't aligned: no stretch of the alignment can bridge one at a miss's loss anyway.
@@ -105,15 +112,21 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mixed(np.add.reduceat(kept * _POWERS[place], before) + sizes.astype(np.uint64)), np.searchsorted(ends, starts, "right")
 
 
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` of word hashes ``h``: of ``width`` words, doubled as far as that goes and overlapped for the rest."""
+    g, width = h, 1
+    while width < size:
+        step = min(width, size - width)
+        g, width = g[:-step] * _FACTORS[0] + mixed(g[step:] + np.uint64(width + step)), width + step
+    return g
+
+
 def seeds(h: np.ndarray, text: np.ndarray, size: int = SHINGLE, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in ``h``) and hashes of the winnowed shingles of word hashes ``h`` of consecutive texts."""
     span = size + neighbours - 1
     if len(h) < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    g, width = h, 1  # hashes of ``width`` words, doubled as far as that goes and overlapped for the rest
-    while width < size:
-        step = min(width, size - width)
-        g, width = g[:-step] * _FACTORS[0] + mixed(g[step:] + np.uint64(width + step)), width + step
+    g = shingles(h, size)
     n = len(g)
     g = np.where(text[:n] == text[size - 1 :], mixed(g), _LAST)
     least, width = g, 1
@@ -575,32 +588,84 @@ def _aligner(min_words: int, similarity: float):
     return run
 
 
-def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by document, its passages (without ``of``) by their start, then its links: gives the links whose
-    words aren't all inside passages."""
-    now, first, end = None, [], []
+def _uncovered(before: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by document, its passages (without ``of``) by their start, then its links: gives the links whose
+        ``size`` words, and ``before`` words before them, aren't all inside passages."""
+        now, first, end = None, [], []
+        for batch in batches:
+            doc, at, to = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            link = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (link[1:] != link[:-1])) + 1).tolist(), len(doc)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s == e:
+                    continue
+                if doc[s] != now:
+                    now, first, end = doc[s], [], []
+                if not link[s]:
+                    for a, b in zip(at[s:e].tolist(), to[s:e].tolist()):
+                        if end and a <= end[-1]:
+                            end[-1] = max(end[-1], b)
+                        else:
+                            first.append(a)
+                            end.append(b)
+                    continue
+                owner, of, place, of_place = unpacked(batch.slice(s, e - s))
+                low = place & _PLACE
+                inside = np.searchsorted(first, np.maximum(low - before, 0), "right") - 1
+                bare = ~((inside >= 0) & (np.array([*end, 0])[inside] >= low + size))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[bare]) for x in (owner, of, place, of_place)), pa.nulls(int(bare.sum()), pa.binary())], names=LINK_NAMES)
+
+    return run
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links one by one, without marks in their places."""
     for batch in batches:
-        doc, at, to = (batch.column(i).to_numpy() for i in (0, 2, 3))
-        link = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero((np.diff(doc) != 0) | (link[1:] != link[:-1])) + 1).tolist(), len(doc)]
-        for s, e in zip(cuts, cuts[1:]):
-            if s == e:
-                continue
-            if doc[s] != now:
-                now, first, end = doc[s], [], []
-            if not link[s]:
-                for a, b in zip(at[s:e].tolist(), to[s:e].tolist()):
-                    if end and a <= end[-1]:
-                        end[-1] = max(end[-1], b)
-                    else:
-                        first.append(a)
-                        end.append(b)
-                continue
-            owner, of, place, of_place = unpacked(batch.slice(s, e - s))
-            low = place & _PLACE
-            before = np.searchsorted(first, low, "right") - 1
-            bare = ~((before >= 0) & (np.array([*end, 0])[before] >= low + LONG))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[bare]) for x in (owner, of, place, of_place)), pa.nulls(int(bare.sum()), pa.binary())], names=LINK_NAMES)
+        doc, of, place, of_place = unpacked(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, of, place & _PLACE, of_place & _PLACE)], names=LINK_NAMES[:4])
+
+
+def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every run of RUN words around the long seeds at ``places``, and whether its words aren't all inside the passages ``spans``."""
+    for batch in blocks_of(batches, "t", HASH_BYTES):
+        h, text = word_hashes(batch.column(1))
+        begins = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        out: list[tuple] = []
+        for i, (doc, places, spans) in enumerate(zip(*(batch.column(j).to_pylist() for j in (0, 2, 3)))):
+            g = shingles(own, RUN) if len(own := h[begins[i] : begins[i + 1]]) >= RUN else own[:0]
+            at = (np.array(places, np.int64)[:, None] - np.arange(LONG_NEIGHBOURS)).ravel()
+            at = np.unique(at[(at >= 0) & (at < len(g))])
+            first, end = (np.array([x[k] for x in spans or ()], np.int64) for k in ("first", "end"))
+            first, end = first[order := np.argsort(first, kind="stable")], np.maximum.accumulate(end[order])
+            new = np.flatnonzero(np.concatenate(([True], first[1:] > end[:-1]))) if len(first) else order
+            first, end = first[new], end[np.append(new[1:], len(end)) - 1] if len(new) else end
+            inside = np.searchsorted(first, at, "right") - 1
+            out.append((g[at].view(np.int64), np.full(len(at), doc, np.int64), at, ~((inside >= 0) & (np.append(end, 0)[inside] >= at + RUN))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["run", "doc", "place", "bare"])
+
+
+def shared_runs(source: DataFrame, far: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
+    """Passages word by word the same, along the runs of RUN words that aren't all inside the ``known`` ones.
+
+    ``far``: the links of long seeds.  Two documents that share a run share a long seed of it; all its occurrences are
+    known by the first one, which every link names.  A run's first occurrences combine before the shuffle.
+    """
+    spans = known.select("doc", F.lit(None).cast("long"), "first", "end", F.lit(None).cast("binary"))
+    loose = far.unionAll(spans).repartition("doc").sortWithinPartitions("doc", "of", "place").mapInArrow(_uncovered(RUN - LONG, RUN), LINK_KIND)
+    seed = written(loose.select("of", F.col("of_place").bitwiseAND(_PLACE).alias("of_place")).distinct(), "loose")
+    all_links = far.mapInArrow(_plain, "doc long, of long, place long, of_place long")
+    at = all_links.join(seed, ["of", "of_place"], "left_semi").select("doc", "place").unionAll(seed)
+    around = at.groupBy("doc").agg(F.collect_set("place").alias("places")).join(known.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "doc", "left")
+    texts = source.join(around, F.col("id") == F.col("doc")).groupBy("id").agg(F.min("t").alias("t"), F.first("places").alias("places"), F.first("spans").alias("spans"))
+    runs = written(texts.mapInArrow(_find_runs, "run long, doc long, place long, bare boolean"), "runs")
+    first = runs.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("at")).select("run", F.col("at.doc").alias("of"), F.col("at.place").alias("of_place"))
+    links = runs.where("bare").join(first, "run").where("doc <> of").withColumn("line", F.col("place") - F.col("of_place"))
+    line = Window.partitionBy("doc", "of", "line").orderBy("place")
+    new = (F.col("place") - F.lag("place").over(line) > RUN).cast("int")
+    parts = links.withColumn("new", F.coalesce(new, F.lit(0))).withColumn("n", F.sum("new").over(line))
+    whole = parts.groupBy("doc", "of", "line", "n").agg(F.min("place").alias("first"), (F.max("place") + RUN).alias("end"))
+    return whole.where(F.col("end") - F.col("first") >= min_words).select("doc", "first", "end", "of", (F.col("first") - F.col("line")).alias("of_first"), (F.col("end") - F.col("line")).alias("of_end"), F.lit(1.0).alias("similarity"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -617,9 +682,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
     links = linked(source)
     known = written(aligned(links.where(F.col("place") < _IS_LONG), _chain), "passages")
-    both = links.where(F.col("place") >= _IS_LONG).unionAll(known.select("doc", F.lit(None).cast("long"), "first", "end", F.lit(None).cast("binary")))
+    far = written(links.where(F.col("place") >= _IS_LONG), "far")
+    both = far.unionAll(known.select("doc", F.lit(None).cast("long"), "first", "end", F.lit(None).cast("binary")))
     # one function, so a task has one Python worker
-    return known.unionAll(aligned(both, lambda batches: _chain(_uncovered(batches)))).distinct()
+    more = aligned(both, lambda batches: _chain(_uncovered(0, LONG)(batches)))
+    known = written(known.unionAll(more).distinct(), "passages")
+    return known.unionAll(shared_runs(source, far, known, min_words))
 
 
 WORD = re.compile(rb"[^\x09-\x0D ]+")

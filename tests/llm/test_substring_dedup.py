@@ -236,3 +236,18 @@ def test_columns_with_the_operators_own_names(docs):
     wide = docs([(1, text), (2, text)]).withColumn("spans", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("__spans", F.lit(3)).withColumn("__doc", F.lit(4)).withColumn("0", F.lit(5))
     kept = D.remove_repeats(wide).collect()
     assert [(r.doc_id, r.spans, r.doc, r["__spans"], r["0"]) for r in kept] == [(1, 1, 2, 3, 5)]
+
+
+def test_every_run_of_fifty_words_whatever_its_seeds_were_in_before(docs):
+    """Earlier documents have all but one word of the run, so that they have its long seeds first."""
+    rng = random.Random(71)
+    rows, want = [], {}
+    for case in range(30):
+        run, at = prose(rng, 50), 100 * case
+        around = lambda body: " ".join([*prose(rng, 30), *body, *prose(rng, 30)])
+        rows += [(at, around(run[:49])), (at + 1, around(run[1:])), (at + 2, around(run)), (at + 3, around(run))]
+        want[at + 3] = set(range(30, 80))
+    got = D.repeats(docs(rows).repartition(5)).collect()
+    assert all(want[i] <= covered(got, i) for i in want) and {r.doc for r in got} == set(want)
+    assert {(r.of, r.of_first, r.of_end) for r in got} == {(i - 1, 30, 80) for i in want}
+    assert sorted(map(tuple, D.repeats(docs(rows[::-1]).coalesce(1)).collect())) == sorted(map(tuple, got))
