@@ -6,9 +6,10 @@ Tables that a job reads more than once are written as Parquet into the folder th
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -95,3 +96,22 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             held, n = [], 0
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def freeing(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, after which the worker gives back what it no longer holds: it stays for later stages, whose
+    workers come on top."""
+
+    def then_free(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+
+    return then_free

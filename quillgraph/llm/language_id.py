@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import columns, written
+from quillgraph.llm.common import columns, freeing, written
 
 #: Runs of letters (and of numerals that are not decimal digits, which carry no letter by themselves).
 WORD = re.compile(r"[^\W\d_]+")
@@ -158,10 +158,10 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_
             flat = [(lang, size, g, n) for (lang, size), c in by.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["l", "size", "g", "n"])
 
-    words = written(rows.select("t", "l").mapInArrow(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words")
+    words = written(rows.select("t", "l").mapInArrow(freeing(count), "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n")), "words")
     turn = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
     found = words.withColumn("turn", turn).where(F.col("turn") <= max_words).orderBy("turn", "l").limit(max_words).select("l", "w", "n").toArrow()
-    counted = words.mapInArrow(pieces, "l string, size int, g string, n long").groupBy("l", "size", "g").agg(F.sum("n").alias("n")).toArrow()
+    counted = words.mapInArrow(freeing(pieces), "l string, size int, g string, n long").groupBy("l", "size", "g").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {lang: {} for lang in counted.column("l").unique().to_pylist()}
     for lang, word, n in zip(*(found.column(i).to_pylist() for i in range(3))):
         counts[lang][word] = n
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             got = [m.predict(t, memo) for t in columns(batch, "t")[0]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind.simpleString()}, lang_pred string, score double")
+    return docs.select(F.col(id_col), F.col(text_col).alias("t")).mapInArrow(freeing(run), f"`{id_col}` {kind.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> DataFrame:
@@ -203,4 +203,4 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3) -> Da
             keep = pa.array([lang != UNDETERMINED and score >= min_score for lang, score in got], pa.bool_())
             yield batch.set_column(lang_at, "lang", pa.array([g[0] for g in got], pa.string())).filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)

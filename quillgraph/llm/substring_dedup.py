@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import blocks_of, gathered, written
+from quillgraph.llm.common import blocks_of, freeing, gathered, written
 
 SHINGLE = 5
 NEIGHBOURS = 8
@@ -301,14 +301,14 @@ def unpacked(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
 
 def linked(source: DataFrame) -> DataFrame:
     """(doc, of, place, of_place, packed): every seed's later occurrences with its first one, by (id, t); packed ones hold several."""
-    dealt = source.mapInArrow(_find_seeds, SEED_KIND).repartition("seed").sortWithinPartitions("seed", "doc", F.col("place").bitwiseAND(_PLACE))
-    found = written(dealt.mapInArrow(_link, MATCH_KIND), "seeds")
+    dealt = source.mapInArrow(freeing(_find_seeds), SEED_KIND).repartition("seed").sortWithinPartitions("seed", "doc", F.col("place").bitwiseAND(_PLACE))
+    found = written(dealt.mapInArrow(freeing(_link), MATCH_KIND), "seeds")
     is_late = F.col("kind") == 1
     ends = [F.when(is_late, F.col(a)).otherwise(F.col(b)).alias(name) for a, b, name in (("of", "doc", "first"), ("doc", "of", "other"))]
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     shared = found.where("kind > 0").select(ends[0], "kind", zero("seed"), ends[1], zero("of_place"), "packed")
     taken = shared.repartition("first").sortWithinPartitions("first", F.desc("kind"))
-    return found.where("kind = 0").select(LINK_NAMES).unionAll(taken.mapInArrow(_take_over, LINK_KIND))
+    return found.where("kind = 0").select(LINK_NAMES).unionAll(taken.mapInArrow(freeing(_take_over), LINK_KIND))
 
 
 class PrefixMaximum:
@@ -652,13 +652,13 @@ def shared_runs(source: DataFrame, far: DataFrame, known: DataFrame, min_words:
     known by the first one, which every link names.  A run's first occurrences combine before the shuffle.
     """
     spans = known.select("doc", F.lit(None).cast("long"), "first", "end", F.lit(None).cast("binary"))
-    loose = far.unionAll(spans).repartition("doc").sortWithinPartitions("doc", "of", "place").mapInArrow(_uncovered(RUN - LONG, RUN), LINK_KIND)
+    loose = far.unionAll(spans).repartition("doc").sortWithinPartitions("doc", "of", "place").mapInArrow(freeing(_uncovered(RUN - LONG, RUN)), LINK_KIND)
     seed = written(loose.select("of", F.col("of_place").bitwiseAND(_PLACE).alias("of_place")).distinct(), "loose")
-    all_links = far.mapInArrow(_plain, "doc long, of long, place long, of_place long")
+    all_links = far.mapInArrow(freeing(_plain), "doc long, of long, place long, of_place long")
     at = all_links.join(seed, ["of", "of_place"], "left_semi").select("doc", "place").unionAll(seed)
     around = at.groupBy("doc").agg(F.collect_set("place").alias("places")).join(known.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "doc", "left")
     texts = source.join(around, F.col("id") == F.col("doc")).groupBy("id").agg(F.min("t").alias("t"), F.first("places").alias("places"), F.first("spans").alias("spans"))
-    runs = written(texts.mapInArrow(_find_runs, "run long, doc long, place long, bare boolean"), "runs")
+    runs = written(texts.mapInArrow(freeing(_find_runs), "run long, doc long, place long, bare boolean"), "runs")
     first = runs.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("at")).select("run", F.col("at.doc").alias("of"), F.col("at.place").alias("of_place"))
     links = runs.where("bare").join(first, "run").where("doc <> of").withColumn("line", F.col("place") - F.col("of_place"))
     line = Window.partitionBy("doc", "of", "line").orderBy("place")
@@ -676,9 +676,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     def aligned(links: DataFrame, chain_up: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
         """Passages along the chains of links that are sorted by (doc, of, place) within their document's partition."""
         dealt = links.repartition("doc").sortWithinPartitions("doc", "of", "place")
-        sides = dealt.mapInArrow(chain_up, CHAIN_KIND).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", F.when(F.col("side") == 0, F.col("doc")).otherwise(F.col("of")))
-        segments = sides.join(source, F.col("key") == F.col("id")).mapInArrow(_cut, SEGMENT_KIND)
-        return segments.repartition(*chain).sortWithinPartitions(*chain, "side", "low", "words").mapInArrow(_aligner(min_words, similarity), PASSAGE_KIND).distinct()
+        sides = dealt.mapInArrow(freeing(chain_up), CHAIN_KIND).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", F.when(F.col("side") == 0, F.col("doc")).otherwise(F.col("of")))
+        segments = sides.join(source, F.col("key") == F.col("id")).mapInArrow(freeing(_cut), SEGMENT_KIND)
+        return segments.repartition(*chain).sortWithinPartitions(*chain, "side", "low", "words").mapInArrow(freeing(_aligner(min_words, similarity)), PASSAGE_KIND).distinct()
 
     links = linked(source)
     known = written(aligned(links.where(F.col("place") < _IS_LONG), _chain), "passages")
@@ -744,4 +744,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols[chars_at] = pa.array(chars, cols[chars_at].type)
             yield pa.RecordBatch.from_arrays(cols[:width], names=names).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(freeing(run), docs.schema)

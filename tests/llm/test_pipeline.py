@@ -71,3 +71,18 @@ def test_run_gives_the_plan(spark, corpus):
     folder, want = corpus
     rows = P.run(spark, folder).collect()
     assert {r.doc_id for r in rows} == set(want) and rows[0].capacity in packing.LENGTHS
+
+
+def test_workers_give_memory_back_after_a_stage(monkeypatch):
+    import ctypes
+
+    import pyarrow as pa
+
+    from quillgraph.llm import common
+
+    trims = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(trims.append)}))
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    rows = common.freeing(lambda given: (b for b in given))(iter(batches))
+    assert ctypes is common.ctypes and next(rows).equals(batches[0]) and not trims
+    assert [b.column(0)[0].as_py() for b in rows] == [1, 2] and trims == [0]
