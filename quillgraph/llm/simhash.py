@@ -12,9 +12,9 @@ come from alternating large-star and small-star rounds over those links, each ro
 
 Similar documents (``similar_documents``).  Two texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 differ
 in about 15 % of a fingerprint's bits, a budget that prunes nothing in a trie of 64 bits.  There a fingerprint has 384
-bits, cut into pieces of some bits more than the number of fingerprints needs; each piece has its own trie, whose
-self-join with a budget of two bits proposes pairs, and a pair whose whole fingerprints differ in no more bits than the
-similarity lets expect is a link.  Two texts at the bound meet in one of the pieces with a probability of 0.97.
+bits, cut into 20 pieces of 19 bits; each piece has its own trie, whose self-join with a budget of two bits proposes pairs,
+and a pair whose whole fingerprints differ in no more bits than the similarity lets expect (58) is a link.  Were all pieces
+to differ in three bits, these would be 60, so every such pair meets in one of them, however many fingerprints there are.
 
 Defined results
 * null, empty or blank text: fingerprint zero, linked like any other
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import ascii_lower_words, blocks_of, columns, files_for, written
+from quillgraph.llm.common import ascii_lower_words, blocks_of, columns, files_for, freeing, written
 from quillgraph.llm.substring_dedup import mixed, word_hashes
 
 SEED = 42
@@ -325,26 +325,33 @@ def piece(wide: np.ndarray, first: int, bits: int) -> np.ndarray:
 def similar_links(reps: DataFrame, n: int, most: int) -> DataFrame:
     """Links (a, b) between ids whose wide fingerprints differ in ``most`` bits at most, of ``reps`` (least, wide), ``n`` rows.
 
-    A piece has eight bits more than it takes to number the rows, so that few pieces of unlike texts are near.  Beyond
-    TRIE_SIZE rows a piece has a trie for each value of some bits of each third of it: if two pieces differ in two bits,
-    they agree in a third.  What an executor holds is one trie's rows.
+    There are so many pieces that two fingerprints differ in PIECE_BUDGET bits at most in one of them: no link is lost.
+    Beyond TRIE_SIZE rows a piece has a trie for each value of some bits of each third of it: if two pieces differ in two
+    bits, they agree in a third.  Where there are too few bits for that, a trie's rows are dealt to blocks, and every two
+    blocks meet.  What an executor holds is one trie's rows, or two blocks'.
     """
-    bits = min(63, max(24, max(1, n).bit_length() + 8))
+    pieces = most // (PIECE_BUDGET + 1) + 1
+    bits = min(63, 64 * WIDE // pieces)
     split, turns = tries(n, bits, PIECE_BUDGET, TRIE_SIZE)
+    room = TRIE_SIZE << split
+    blocks = 1 if n <= room else -(-2 * n // room)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE)
-            for t in range(64 * WIDE // bits):
+            block = (mixed(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            for t in range(pieces):
                 value = piece(wide, t * bits, bits)
                 for i, by in enumerate(turns):
                     v = turned(value, bits, by)
                     trie = np.int64(t * len(turns) + i) << np.int64(split) | (v >> np.uint64(bits - split)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(v.view(np.int64)), *batch.columns], names=["trie", "value", "least", "wide"])
+                    for other in range(blocks):
+                        two = (trie * blocks + np.minimum(block, other)) * blocks + np.maximum(block, other)
+                        yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(v.view(np.int64)), *batch.columns], names=["trie", "value", "least", "wide"])
 
     def solve(got: pa.Table) -> pa.RecordBatch:
         value, ids = got.column("value").to_numpy().view(np.uint64), got.column("least").to_numpy()
-        wide = np.frombuffer(b"".join(got.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE)
+        wide = np.ascontiguousarray(np.frombuffer(b"".join(got.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE).T)
         # equal pieces are told apart by their position, in bits that don't count; a very full trie counts fewer bits
         counted = min(bits, 64 - len(value).bit_length())
         own = value >> np.uint64(bits - counted) << np.uint64(64 - counted) | np.arange(len(value), dtype=np.uint64)
@@ -352,13 +359,19 @@ def similar_links(reps: DataFrame, n: int, most: int) -> DataFrame:
         for i, j in near_pairs(own, own, PIECE_BUDGET, lambda: (forest.up, forest.up), counted, True, WIDE_FRONTIER):
             other = i != j
             i, j = i[other], j[other]
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
+            differ = np.zeros(len(i), np.int16)
+            for w in range(WIDE):
+                differ += np.bitwise_count(wide[w][i] ^ wide[w][j])
+                if w == 2:  # of unlike pairs hardly any differ in so few bits so far
+                    near = differ <= most
+                    i, j, differ = i[near], j[near], differ[near]
+            near = differ <= most
             forest.union(i[near], j[near])
         child = np.flatnonzero(forest.up != np.arange(len(own)))
         return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[forest.up[child]])], names=["a", "b"])
 
-    dealt = reps.select("least", "wide").mapInArrow(deal, "trie long, value long, least long, wide binary")
-    return dealt.repartition("trie").sortWithinPartitions("trie", "value", "least").mapInArrow(lambda batches: joined(batches, solve), "a long, b long").distinct()
+    dealt = reps.select("least", "wide").mapInArrow(freeing(deal), "trie long, value long, least long, wide binary")
+    return dealt.repartition("trie").sortWithinPartitions("trie", "value", "least").mapInArrow(freeing(lambda batches: joined(batches, solve)), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -374,7 +387,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in wide], pa.binary())], names=["id", "wide"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
-    prints = written(source.mapInArrow(run, "id long, wide binary"), "sketches")
+    prints = written(source.mapInArrow(freeing(run), "id long, wide binary"), "sketches")
     # a fingerprint that very many rows have is one row of the join, by its smallest id
     reps = written(prints.groupBy("wide").agg(F.min("id").alias("least")), "reps", files_for(prints.count()))
     n = reps.count()

@@ -202,3 +202,25 @@ def test_one_of_each_group_stays(docs):
     kept = S.keep_one(wide)
     assert kept.columns == wide.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n) for r in kept.collect()) == [(False, 7, 3), (False, 8, 3), (False, 50, 3), (True, 0, 3)]
+
+
+def test_links_between_wide_fingerprints_are_whole_at_every_size(spark, monkeypatch):
+    """Pairs at the bound and just beyond it, by themselves and among many others, in one trie, several, and blocks of them."""
+    rng = np.random.default_rng(83)
+    most = S.expected_bits(0.8)
+
+    def changed(row, n):
+        bits = np.unpackbits(row.view(np.uint8))
+        bits[rng.choice(len(bits), n, replace=False)] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    pairs = [(x, changed(x, most + k % 2)) for k, x in enumerate(rng.integers(0, 1 << 63, (160, S.WIDE), dtype=np.uint64))]
+    rows = [(2 * k + j, x.tobytes()) for k, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    others = [(1000 + i, x.tobytes()) for i, x in enumerate(rng.integers(0, 1 << 63, (2000, S.WIDE), dtype=np.uint64))]
+    want = {(2 * k, 2 * k + 1) for k in range(0, 160, 2)}
+    for table, n, size in ((rows, 320, 1 << 18), (rows + others, 2320, 1 << 18), (rows, 1 << 30, 1 << 18), (rows, 320, 60), (rows, 320, 2)):
+        monkeypatch.setattr(S, "TRIE_SIZE", size)
+        if n == 1 << 30:
+            monkeypatch.setattr(S, "TRIE_SIZE", 1 << 24)  # so many rows as are told, not as there are
+        found = S.similar_links(spark.createDataFrame(table, "least long, wide binary"), n, most).collect()
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} == want
