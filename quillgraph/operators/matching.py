@@ -45,14 +45,29 @@ def match_cascaded(texts: DataFrame, register: DataFrame, key: str = "id") -> Da
 
     texts (text_id, date, repository, place), register (id, date, repository, place); repositories agree if the
     register's begins with the text's.
+
+    Nothing is paired with everything of its date.  Register rows that are alike in all this are counted first; each offers
+    the beginnings of its repository that are as long as some text's, and each place of a text its parts that are as long
+    as some register row's, so all joins are of equality, over what differs.
     """
-    r = register.select(F.col(key).alias("match"), "date", F.col("repository").alias("rep"), F.col("place").alias("pl"))
-    met = texts.join(r, "date").where(F.startswith("rep", "repository"))
-    w = Window.partitionBy("text_id")
-    n = met.withColumn("n", F.count("*").over(w)).withColumn("fits", F.contains(F.lower("place"), F.lower("pl")))
-    kept = n.where("n = 1 or fits")
-    best = kept.groupBy("text_id").agg(F.min("match").alias("match"))
-    return texts.join(best, "text_id", "left")
+    key_of = ["date", "repository"]
+    r = register.groupBy("date", F.col("repository").alias("rep"), F.lower("place").alias("part")).agg(F.count("*").alias("n"), F.min(key).alias("match"))
+    wanted = texts.select(*key_of, "place").distinct()
+    lengths = wanted.select(F.length("repository").alias("size")).distinct()
+    sizes = F.explode(F.sequence(F.lit(0), F.length("rep")))
+    offered = r.withColumn("size", sizes).join(lengths, "size").withColumn("repository", F.substring(F.col("rep"), F.lit(1), F.col("size")))
+    offered = offered.groupBy(*key_of, "part").agg(F.sum("n").alias("n"), F.min("match").alias("match"))
+    only = offered.groupBy(*key_of).agg(F.sum("n").alias("n"), F.min("match").alias("match"))
+    widths = r.select(F.length("part").alias("width")).distinct()
+    low = F.lower("place")
+    parts = wanted.select(*key_of, "place", low.alias("low"), F.explode(F.sequence(F.lit(0), F.length(low))).alias("width")).join(widths, "width")
+    parts = parts.select(*key_of, "place", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("width") + 1), lambda i: F.substring(F.col("low"), i, F.col("width"))))).alias("part"))
+    fits = parts.join(offered.drop("n"), [*key_of, "part"]).groupBy(*key_of, "place").agg(F.min("match").alias("fit"))
+    fits = fits.toDF("d", "rep", "pl", "fit")
+    found = wanted.join(only, key_of).join(fits, (F.col("date") == F.col("d")) & (F.col("repository") == F.col("rep")) & (F.col("place") == F.col("pl")), "left")
+    best = found.select(F.col("date").alias("d"), F.col("repository").alias("rep"), F.col("place").alias("pl"), F.when(F.col("n") == 1, F.col("match")).otherwise(F.col("fit")).alias("match"))
+    same = (F.col("date") == F.col("d")) & (F.col("repository") == F.col("rep")) & F.col("place").eqNullSafe(F.col("pl"))
+    return texts.join(best, same, "left").drop("d", "rep", "pl")
 
 
 def register_join(rows: DataFrame, persons: DataFrame, places: DataFrame) -> DataFrame:

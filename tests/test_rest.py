@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,24 @@ def test_matching(spark):
     assert got == {"m1": ("p1", "fuzzy"), "m2": (None, "none")}
 
 
+def test_cascade_against_a_plain_loop(spark):
+    """All of few dates and repositories, so that a date has very many rows; nothing is paired by the date alone."""
+    rng = random.Random(89)
+    some = lambda *xs: rng.choice([*xs, None])
+    kinds = ("1801-01-01", "1801-01-02", "1801-02"), ("Freiburg UB", "Freiburg", "F", "", "Basel"), ("Ulm", "ulm", "", "Meersburg", "Überlingen", "burg")
+    reg = [(i, *(some(*k) for k in kinds)) for i in range(60)] + [(100, "1802-01-01", "Basel StA", "Ulm"), (101, "1803-01-01", "Basel", "Ulm"), (102, "1803-01-01", "Bern", "x")]
+    got = [(i, some(*kinds[0]), some("Frei", "F", "", "Basel"), some("bei Ulm", "MEERSBURG", "überlingen", "")) for i in range(300)] + [(900, "1802-01-01", "Basel", None), (901, "1803-01-01", "B", "near x"), (902, "1803-01-01", "Ba", "no")]
+    want = {}
+    for i, date, rep, place in got:
+        met = [r for r in reg if None not in (date, rep, r[1], r[2]) and r[1] == date and r[2].startswith(rep)]
+        fit = met if len(met) == 1 else [r for r in met if None not in (place, r[3]) and r[3].lower() in place.lower()]
+        want[i] = min((r[0] for r in fit), default=None)
+    df = matching.match_cascaded(spark.createDataFrame(got, "text_id int, date string, repository string, place string"), spark.createDataFrame(reg, "id int, date string, repository string, place string"))
+    assert {r.text_id: r.match for r in df.collect()} == want and df.columns == ["text_id", "date", "repository", "place", "match"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in plan and "Window" not in plan
+
+
 def test_linking_against_all_pairs(spark):
     """Edits anywhere in a name, common words, empty texts: best entries and their order are those of comparing everything."""
     import random
