@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.scalars import blank_to_null, pair_key
 
+#: Letters that a letter's context has in one run; a multiple of eight, as Parquet packs values by eights.
+RUN = 128
+#: Tasks that give out all letters' contexts, at least.
+TASKS = 256
+
 
 def build_edges(letters: DataFrame, mentions: DataFrame, works: DataFrame | None = None, witnesses: DataFrame | None = None) -> DataFrame:
     """Edges as the records have them, repeated and dangling ones included.
@@ -85,19 +90,43 @@ def correspondence_context(letters: DataFrame, seeds: DataFrame | None = None, d
 
     The unordered pair is the equality key.  Dates are dealt to windows of ``days`` and a letter meets its own and the
     two neighbouring windows, so a pair with very many letters is spread over its years; the distance is checked on top.
+    With ``seeds`` (a column of letters) their side alone is paired, row by row.  Without, see ``_all_context``.
     """
     date = F.substring("date", 1, 10)
     if partial_dates:
         date = F.when(date.rlike(r"\A[0-9]{4}\z"), F.concat(date, F.lit("-01-01"))).when(date.rlike(r"\A[0-9]{4}-[0-9]{2}\z"), F.concat(date, F.lit("-01"))).otherwise(date)
     day = F.try_to_date(date, "yyyy-MM-dd")
     rows = letters.select("id", pair_key(F.col("sender"), F.col("recipient")).alias("pair"), day.alias("day")).where("pair is not null and day is not null").withColumn("w", F.floor(F.unix_date("day") / max(1, days)).cast("int"))
-    own = rows if seeds is None else rows.join(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    if seeds is None:
+        return _all_context(rows, days)
+    own = rows.join(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct(), "id", "left_semi")
     left = own.select(F.col("id").alias("letter"), "pair", F.col("day").alias("d"), F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"))
     right = rows.select(F.col("id").alias("other"), "pair", F.col("day").alias("e"), "w")
     apart = F.abs(F.date_diff("d", "e"))
     return left.join(right, ["pair", "w"]).where((F.col("letter") != F.col("other")) & (apart <= days)).select("letter", "other", apart.alias("days_apart"))
 
 
+def _all_context(rows: DataFrame, days: int) -> DataFrame:
+    """Every letter's context, from rows (id, pair, day, w).
+
+    A pair's letters of a window are one row.  It meets itself and, in both directions, the next window's, for which it
+    is dealt to two keys in one shuffle; letters are read once and pairs of them come out of arrays after the last
+    shuffle, in at least ``TASKS`` tasks, as they are very many more than the letters.  They come ``RUN`` others at a
+    time for each letter in order of days: runs and repetitions are what keeps such a result small in a file.
+    """
+    blocks = rows.groupBy("pair", "w").agg(F.array_sort(F.collect_list(F.struct("day", "id"))).alias("block"))
+    none = F.lit(None).cast(blocks.schema["block"].dataType)
+    roles = F.explode(F.array(F.struct("w", F.col("block").alias("own"), none.alias("next")), F.struct((F.col("w") - 1).alias("w"), none.alias("own"), F.col("block").alias("next"))))
+    tasks = max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = blocks.select("pair", roles.alias("r")).select("pair", "r.*").repartition(tasks, "pair", "w").groupBy("pair", "w").agg(F.first("own", True).alias("own"), F.first("next", True).alias("next"))
+    meet = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    sides = both.where("own is not null").select(F.explode(F.array(meet("own", "own"), meet("own", "next"), meet("next", "own"))).alias("s")).where("s.a is not null and s.b is not null")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("s.b") - 1) / RUN).cast("int")), lambda i: F.slice("s.b", i * RUN + 1, RUN))
+    pairs = sides.select(F.col("s.a").alias("a"), F.explode(runs).alias("b")).select("b", F.explode("a").alias("l")).select("l", F.explode("b").alias("o"))
+    apart = F.abs(F.date_diff("l.day", "o.day"))
+    return pairs.where((F.col("l.id") != F.col("o.id")) & (apart <= days)).select(F.col("l.id").alias("letter"), F.col("o.id").alias("other"), apart.alias("days_apart"))
+
+
 def ego_depths(edges: DataFrame, key: str, depth: int = 2) -> DataFrame:
     """(key, depth) of everything within ``depth`` steps of a node, edges taken either way.
 

@@ -81,6 +81,28 @@ def test_correspondence_context(spark, letters):
     assert {tuple(r) for r in G.correspondence_context(letters, seeds, 365).collect()} == near(365, {"L01", "L10"})
 
 
+def test_context_in_runs(spark, letters, monkeypatch):
+    monkeypatch.setattr(G, "RUN", 2)  # letters of a window that fill several runs
+    twice = letters.unionByName(letters.where("id = 'L10'"))
+    for days in (0, 7, 365):
+        assert sorted(map(tuple, G.correspondence_context(letters, days=days).collect())) == sorted(near(days))
+        once = [x for x in near(days) for _ in range(2 if "L10" in x[:2] else 1)]
+        assert sorted(map(tuple, G.correspondence_context(twice, days=days).collect())) == sorted(once)
+
+
+def test_context_reads_letters_once_and_is_small_in_a_file(spark, tmp_path):
+    rng = random.Random(5)
+    many = [(i, *rng.sample(["a", "b"], 2), (date(1871, 3, 1) + timedelta(rng.randrange(200))).isoformat()) for i in range(1000)]
+    spark.createDataFrame(many, "id long, sender string, recipient string, date string").write.parquet(str(tmp_path / "letters"))
+    found = G.correspondence_context(spark.read.parquet(str(tmp_path / "letters")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    found.write.parquet(str(tmp_path / "found"))
+    day = [date.fromisoformat(x[3]).toordinal() for x in many]
+    rows = sum(abs(d - e) <= 90 for d in day for e in day) - len(many)
+    assert spark.read.parquet(str(tmp_path / "found")).distinct().count() == rows
+    assert sum(x.stat().st_size for x in (tmp_path / "found").glob("*.parquet")) < rows
+
+
 def test_dates_that_are_not_whole(letters):
     cut = letters.withColumn("date", F.when(F.col("id") == "L01", F.substring("date", 1, 7)).when(F.col("id") == "L10", F.substring("date", 1, 4)).otherwise(F.col("date")))
     assert {tuple(r) for r in G.correspondence_context(cut, days=365).collect()} == {x for x in near(365) if not {"L01", "L10"} & {x[0], x[1]}}
